@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality_rules, secret_scans
+from marlstone.llm import ngram_join, packing, quality_rules, secret_scans, source_mixing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op2_source_mixing": source_mixing.op2_source_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op6_secret_scans": secret_scans.op6_secret_scans,
 }
 SQL = {"op3_quality_rules": quality_rules.SQL}
