@@ -173,8 +173,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         for _, texts in slices(batches):
             yield shingle_sets(texts)[1]
 
-    levels = slot_levels(reps, keys_of, bits_for(text_bytes(given, "text") / 24), (2, MANY))
+    levels = slot_levels(reps, keys_of, bits_for(text_bytes(given, "text") / 7, 2), (2, MANY))
     index = written(indexed(reps, levels))
+    levels.destroy()
     sets = index.filter("prefix IS NOT NULL")
     posts = sets.select("id", "n", F.explode("prefix").alias("gram"))
     shared = posts.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("gram")

@@ -35,9 +35,9 @@ class Levels:
         return (self.levels[level][(slots >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slots & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
 
 
-def bits_for(keys: float) -> int:
-    """Slots enough for about eight a key, up to :data:`MAX_BITS`."""
-    return int(min(MAX_BITS, max(BUCKET_BITS + 2, np.ceil(np.log2(8 * max(keys, 1))))))
+def bits_for(keys: float, slots: int) -> int:
+    """Bits for about ``slots`` slots a key, up to :data:`MAX_BITS`."""
+    return int(min(MAX_BITS, max(BUCKET_BITS + 2, np.round(np.log2(slots * max(keys, 1))))))
 
 
 def slot_levels(
@@ -97,7 +97,7 @@ def slot_levels(
     packed = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, packed binary")
     size = 1 << (BUCKET_BITS - 3)
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in levels]
-    for row in packed.collect():  # 2^bits bits a level, whatever the input
+    for row in packed.toLocalIterator():  # 2^bits bits a level, whatever the input; a partition at a time
         for k, level in enumerate(out):
             level[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.packed, np.uint8, size, k * size)
     return docs.sparkSession.sparkContext.broadcast(Levels(bits, out))
