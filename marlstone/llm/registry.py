@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from marlstone.llm import ngram_join, packing, quality_rules, secret_scans, source_mixing, toxicity
+from marlstone.llm import language_id, media_avi, ngram_join, packing, quality_rules, secret_scans, source_mixing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_source_mixing": source_mixing.op2_source_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_media_avi": media_avi.op8_media_avi,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op6_secret_scans": secret_scans.op6_secret_scans,
 }
