@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import language_id, media_avi, ngram_join, packing, quality_rules, secret_scans, source_mixing, toxicity
+from marlstone.llm import language_id, media_avi, ngram_join, packing, pii, quality_rules, secret_scans, source_mixing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_source_mixing": source_mixing.op2_source_mixing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_pii": pii.op4_pii,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_language_id": language_id.op7_language_id,
     "op8_media_avi": media_avi.op8_media_avi,
