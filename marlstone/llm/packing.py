@@ -16,15 +16,18 @@ from marlstone.llm.common import documents, written
 
 END_ID = 2
 WINDOW = 4096
-#: Words whose ids a worker keeps; the store is emptied when it is full.
-CACHED_WORDS = 500_000
+#: Pieces, and their plain forms, whose ids a worker keeps; a store is emptied when it is full.
+KEPT = 700_000
 
 
 class WordTokens:
-    """Token ids of texts under a vocabulary that drops white space and never joins words.
+    """Token ids of texts under a vocabulary that drops white space, lowers case and joins no words.
 
     Such a tokenizer gives a text the ids of its space-separated pieces one after the other, so
-    each different piece is encoded once and its ids are kept as little-endian 16-bit numbers.
+    each different piece is looked up once and its ids are kept as little-endian 16-bit numbers.
+    A new piece of ASCII is encoded in its plain form, in lower case; one that ends in a letter
+    or digit and a full stop or comma is that of the rest and of the mark, which the tokenizer
+    splits off as well.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,19 +37,69 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        last = sorted(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[last] = True
         self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        known = self.known
-        pieces = text.replace("\n", " ").split(" ")
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(pieces))
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, "<u2").tobytes()
-        return b"".join([known[p] for p in pieces])
+        self.plain: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self.encoded([".", ","]), strict=True))
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Words of letters alone are encoded as one text, which their last ids cut."""
+        out: dict[str, bytes] = {}
+        words = [p for p in pieces if p.isalpha() and len(p.lower()) == len(p)]
+        for k in range(0, len(words), 4000):
+            own = words[k : k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own):
+                data, cuts = ids.tobytes(), (2 * np.r_[0, ends]).tolist()
+                out.update(zip(own, (data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        rest = [p for p in pieces if p not in out]
+        out.update((p, np.array(x.ids, "<u2").tobytes()) for p, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [out[p] for p in pieces]
+
+    def learn(self, pieces: set[str]) -> None:
+        forms = {}
+        for p in pieces:
+            q = p.lower() if p.isascii() and "<|" not in p else p
+            forms[p] = (q[:-1], q[-1]) if len(q) > 1 and q[-1] in ".," and q[-2].isalnum() and len(q[-2].lower()) == 1 else (q, "")
+        plain = self.plain
+        new = list({q for q, _ in forms.values() if q not in plain})
+        if len(plain) + len(new) > KEPT:
+            plain.clear()
+            new = list({q for q, _ in forms.values()})
+        plain.update(zip(new, self.encoded(new), strict=True))
+        for p, (q, mark) in forms.items():
+            self.known[p] = plain[q] + self.marks[mark] if mark else plain[q]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the new pieces of all of them are learned at once."""
+        pieces: list[str] = []
+        edges = [0]
+        for t in texts:
+            pieces += t.replace("\n", " ").split(" ")
+            edges.append(len(pieces))
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = {pieces[i] for i in missing}
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+            self.learn(new)
+            for i in missing:
+                found[i] = self.known[pieces[i]]
+        return [b"".join(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+#: One per vocabulary and Python worker, which serves many tasks.
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
 
 
 def _vocabulary(path: str | None) -> str:
@@ -62,24 +115,24 @@ def tokenized(docs: DataFrame, id_col: str, text: str, path: str | None = None,
     path = _vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, at, part = WordTokens(path), 0, TaskContext.get().partitionId()
+        tokens, at, part = word_tokens(path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            ids = batch.column(0)
-            out: list[bytes] = []
+            texts: list[str] = []
             low = held = 0
             for k, t in enumerate(batch.column(1)):
-                out.append((tokens.ids(s) if (s := t.as_py()) else b"") + end)
-                held += len(out[-1])
-                if held > 4 << 20 or k == batch.num_rows - 1:
+                texts.append(t.as_py() or "")
+                held += len(texts[-1])
+                if held > 2 << 20 or k == batch.num_rows - 1:
+                    out = [x + end for x in tokens.ids(texts)]
                     n = np.array([len(x) // 2 for x in out], np.int64)
                     first = at + np.cumsum(n) - n
                     at += int(n.sum())
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(low, len(out)), pa.array(np.full(len(out), part, np.int64)), pa.array(first), pa.array(n), pa.array(out, pa.binary())],
+                        [batch.column(0).slice(low, len(out)), pa.array(np.full(len(out), part, np.int64)), pa.array(first), pa.array(n), pa.array(out, pa.binary())],
                         ["id", "part", "first", "n", "ids"],
                     )
-                    low, held, out = k + 1, 0, []
+                    texts, low, held = [], k + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, part long, first long, n long, ids binary")
