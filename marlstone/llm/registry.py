@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import language_id, media_avi, ngram_join, packing, pii, quality_rules, secret_scans, source_mixing, toxicity
+from marlstone.llm import language_id, media_avi, ngram_join, packing, pii, quality_rules, repeated_bytes, secret_scans, source_mixing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_media_avi": media_avi.op8_media_avi,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_repeated_bytes": repeated_bytes.op10_repeated_bytes,
     "op6_secret_scans": secret_scans.op6_secret_scans,
 }
 SQL = {"op3_quality_rules": quality_rules.SQL}
