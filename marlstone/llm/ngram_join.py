@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import documents, small, written
 from marlstone.llm.components import components
 from marlstone.llm.slots import bits_for, slot_levels, text_bytes
+from marlstone.llm.text_classes import text_classes
 
 N = 5
 #: An n-gram of more documents than this comes last in the global order.
@@ -155,16 +156,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     takes part. Rows that repeat an id count as one document if the text repeats, too.
 
     Candidates share an n-gram of their prefixes in a global order, rare n-grams first. In a
-    group of documents with the same n-gram two of them, by two hashes of the id, are compared
-    with the rest, so that a family of near copies joins after a number of comparisons in
-    proportion to its size. Then each pair that still lies in two components, shares prefix
+    group of documents with the same n-gram one is the centre, by a hash of the id, and each
+    document is compared with the centre that it shares most n-grams with, for two hashes; so a
+    family of near copies joins after a number of comparisons in proportion to its size. Then each pair that still lies in two components, shares prefix
     n-grams and has enough of them for a similarity of 0.8 is counted exactly; no link between
     different components is lost, and links within one would not change it.
     """
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = given.select("id", F.md5("text").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    classes = written(keyed.join(first, "key").select("id", "rep").distinct())
+    classes = written(text_classes(given).select("id", "rep").distinct())
     copies = classes.filter("id <> rep").select("id").distinct()
     # one text per class: a shuffle-free anti join if the copies are few enough to be broadcast
     reps = given.join(small(copies, 2_000_000), "id", "left_anti")
@@ -184,14 +183,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     def prefix(n: Column) -> Column:
         return n - F.ceil(4 * n / 5) + 1
 
-    # 1. two centres a group, against all its documents
+    # 1. each document against the one centre of its groups that it shares most n-grams with, for two sets of centres
     lead = [F.min_by(F.struct("id", "n"), F.xxhash64(F.lit(s), F.col("id"))).alias(f"c{s}") for s in (1, 2)]
-    centres = posts.groupBy("gram").agg(*lead).select("gram", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c"))
+    centres = posts.groupBy("gram").agg(*lead).select("gram", F.posexplode(F.array("c1", "c2")).alias("nth", "c"))
     star = posts.join(centres, "gram").filter((F.col("id") != F.col("c.id")) & _near_sizes(F.col("n"), F.col("c.n")))
-    star = star.groupBy(F.least("id", "c.id").alias("x"), F.greatest("id", "c.id").alias("y")).agg(
-        F.count(F.lit(1)).alias("grams"), F.max(F.greatest("n", "c.n")).alias("n")
-    )
+    star = star.groupBy("nth", "id", F.col("c.id").alias("centre")).agg(F.count(F.lit(1)).alias("grams"), F.max(F.greatest("n", "c.n")).alias("n"))
     star = star.filter(5 * F.col("grams") >= prefix(F.col("n")))  # the rest wait for the second step
+    star = star.groupBy("nth", "id").agg(F.max_by("centre", F.struct("grams", "centre")).alias("centre"))
+    star = star.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct()
     near = components(linked(star, sets))
 
     # 2. every pair between two components

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import documents, small, written
 from marlstone.llm.ngram_join import mixed, slices
 from marlstone.llm.slots import bits_for, slot_levels, text_bytes
+from marlstone.llm.text_classes import text_classes
 
 LENGTH, GRAM = 50, 20
 SIDE = LENGTH - GRAM
@@ -283,8 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     document and place for the ends of a passage that many documents share.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = given.select("id", F.md5("text").alias("key"))
-    classes = written(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").filter("id > rep").select("id", "key").distinct())
+    classes = written(text_classes(given).filter("id > rep").select("id", "key").distinct())
     copies = small(classes, 2_000_000)
     marked = given.withColumn("key", F.md5("text"))
     reps = marked.join(copies, ["id", "key"], "left_anti").select("id", "text")
