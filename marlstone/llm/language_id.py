@@ -55,6 +55,8 @@ class ContextTrees:
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
+        if not counts:
+            return
         byte_n = sum((np.bincount(g & 255, c, 256) for g, c in counts.values()), np.zeros(256))
         order = [int(b) for b in np.argsort(-byte_n, kind="stable") if byte_n[b] > 0][: SYMBOLS - 1]
         self.symbol = np.full(256, SYMBOLS - 1, np.uint32)

@@ -152,7 +152,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Documents link if the Jaccard similarity of their sets of distinct 5-grams is 0.8 or more;
     component_id is the smallest id that links lead to. Texts without words (null, empty) have
-    an empty set and link with nothing. Equal texts are one class, of which the smallest id
+    an empty set and link with nothing, and so do rows with a null id. Equal texts are one class, of which the smallest id
     takes part. Rows that repeat an id count as one document if the text repeats, too.
 
     Candidates share an n-gram of their prefixes in a global order, rare n-grams first. In a
@@ -162,7 +162,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     n-grams and has enough of them for a similarity of 0.8 is counted exactly; no link between
     different components is lost, and links within one would not change it.
     """
-    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    given = rows.filter("id IS NOT NULL")
     classes = written(text_classes(given).select("id", "rep").distinct())
     copies = classes.filter("id <> rep").select("id").distinct()
     # one text per class: a shuffle-free anti join if the copies are few enough to be broadcast
@@ -215,7 +216,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     final = near.select("id", "label").union(joined.join(near, joined["label"] == near["id"], "left_anti").select("label", F.col("label").alias("x")))
     final = final.join(joined, "label", "left").select(F.col("id").alias("rep"), F.coalesce("low", "label").alias("low"))
     sizes = index.select(F.col("id").alias("rep"), "n").distinct()
-    return classes.join(sizes, "rep").join(final, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "rep").alias("component_id"))
+    low = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("low", "rep"))
+    grouped = classes.join(sizes, "rep").join(final, "rep", "left").select("id", F.col("n").alias("n_shingles"), low.alias("component_id"))
+
+    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches):
+            n = np.bincount(shingle_sets(texts)[0], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), ids], ["id", "n_shingles", "component_id"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return grouped.union(rows.filter("id IS NULL").mapInArrow(sizes_of, f"id {kind}, n_shingles long, component_id {kind}"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def _context(r: np.ndarray) -> np.ndarray:
 
 
 def first_of_context(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one record per context, of the smallest id; spans of the records of larger ids).
+    """(the records of each context's smallest id; spans of the records of larger ids).
 
     A record whose whole surroundings occur in a smaller document has all its windows repeated.
     """
@@ -118,14 +118,14 @@ def first_of_context(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     later = r[r["id"] > least]
     spans = np.zeros(len(later), SPAN)
     spans["id"], spans["start"], spans["end"] = later["id"], later["pos"] - later["left"], later["pos"] + GRAM + later["right"]
-    return r[new], spans
+    return r[r["id"] == least], spans
 
 
 def repeated_windows(r: np.ndarray) -> np.ndarray:
     """Spans of windows that a record with the same key and a smaller id has as well.
 
-    ``r`` has one record per context, of the smallest id with it. The windows of an anchor
-    overlap by 20 bytes at least, so those that are repeated cover one span.
+    ``r`` has each context's records of its smallest id only. The windows of an anchor by 20
+    bytes at least, so those that are repeated cover one span.
     """
     order = np.argsort(r["key"], kind="stable")
     r = r[order]
@@ -278,7 +278,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Removed is each byte of the UTF-8 text that a 50-byte string covers which also starts in a
     document of a smaller id; ``kept`` is the rest. Null text is empty; texts under 50 bytes
-    stay whole; of rows with the same id none removes bytes of another. Equal texts are one class: all but those of its
+    stay whole; of rows with the same id none removes
+    bytes of another, and a null id is neither smaller nor larger than any. Equal texts are one class: all but those of its
     smallest id go whole, and that one takes part in the search. What meets in one task is what
     one bucket of keys holds: one record per different surroundings of a key, at most one per
     document and place for the ends of a passage that many documents share.
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     classes = written(text_classes(given).filter("id > rep").select("id", "key").distinct())
     copies = small(classes, 2_000_000)
     marked = given.withColumn("key", F.md5("text"))
-    reps = marked.join(copies, ["id", "key"], "left_anti").select("id", "text")
+    reps = marked.filter("id IS NOT NULL").join(copies, ["id", "key"], "left_anti").select("id", "text")
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, texts in slices(batches, 1 << 18):

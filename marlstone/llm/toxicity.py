@@ -165,8 +165,8 @@ def train(sample: DataFrame, categories: list[str]) -> dict:
     return {"words": known, "models": json.loads(fitted[0][0]) if fitted else none}
 
 
-def scored(docs: DataFrame, chain: dict, categories: list[str], text: str = "text") -> DataFrame:
-    """``docs`` with p_<category> columns; each probability feeds the models after it.
+def scored(docs: DataFrame, chain: dict, categories: list[str], text: str = "text", prefix: str = "p_") -> DataFrame:
+    """``docs`` with <prefix><category> columns; each probability feeds the models after it.
 
     The whole text counts. Null and empty texts have no words, hence probability 0 throughout.
     """
@@ -187,12 +187,12 @@ def scored(docs: DataFrame, chain: dict, categories: list[str], text: str = "tex
                     z = known[k] + float(np.dot(m["earlier"], out[i, :k])) + m["bias"]
                     out[i, k] = 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in range(batch.num_columns)] + [pa.array(out[:, k]) for k in range(len(models))], [*batch.schema.names, *[f"p_{c}" for c in categories]]
+                [batch.column(k) for k in range(batch.num_columns)] + [pa.array(out[:, k]) for k in range(len(models))], [*batch.schema.names, *[f"{prefix}{c}" for c in categories]]
             )
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, *[StructField(f"p_{c}", DoubleType()) for c in categories]])
+    schema = StructType([*docs.schema.fields, *[StructField(f"{prefix}{c}", DoubleType()) for c in categories]])
     return docs.mapInArrow(run, schema)
 
 
@@ -202,15 +202,15 @@ def label_categories() -> dict[str, Column]:
     return {"toxic": toxic, "toxic_prose": toxic & good, "toxic_junk": toxic & ~good}
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5, most: int = SAMPLE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5, most: int = SAMPLE, prefix: str = "") -> DataFrame:
     """``docs`` with the chain's probabilities and ``toxic``: its first category at ``threshold`` or more.
 
     Without labelled documents nothing is toxic. Repeated rows are scored one by one. Columns of
-    ``docs`` are kept; those that the chain adds must not be among them.
+    ``docs`` are kept; the names of the added ones start with ``prefix`` and must be new.
     """
     categories = label_categories()
     chain = train(labelled_sample(docs, labels, id_col, text, categories, most), list(categories))
-    return scored(docs, chain, list(categories), text).withColumn("toxic", F.col("p_toxic") >= threshold)
+    return scored(docs, chain, list(categories), text, f"{prefix}p_").withColumn(f"{prefix}toxic", F.col(f"{prefix}p_toxic") >= threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
