@@ -121,3 +121,8 @@ def index_percentile(values: Column, share: float) -> Column:
 def nearest_rank(values: Column, share: float) -> Column:
     """Element number ceil(n * share) - 1, at least the first, of the sorted values."""
     return let(F.sort_array(values), lambda v: F.get(v, F.greatest(F.ceil(F.size(v) * F.lit(share)).cast("int") - 1, F.lit(0))))
+
+
+def labelled(parts: list[tuple[Column, Column]]) -> Column:
+    """``label: value`` of the parts that have a value, one a line."""
+    return F.concat_ws("\n", *[F.when(F.btrim(v) != "", F.concat(n, F.lit(": "), v)) for n, v in parts])

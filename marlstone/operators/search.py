@@ -118,3 +118,8 @@ def search(items: DataFrame, request: Request, id_col: str, title: str, sections
     keys = {"title": []}.get(request.order, [F.col("rank").desc()])
     total = ranked.count()
     return ranked.withColumn("total", F.lit(total).cast("long")).orderBy(*keys, "title", "id").offset(request.offset).limit(request.size)
+
+
+def prefix_terms(query: str) -> list[str]:
+    """The words of a query as prefixes; one of more than four letters that ends in s loses it."""
+    return list(dict.fromkeys(w[:-1] if len(w) > 4 and w.endswith("s") else w for w in query.lower().split()))

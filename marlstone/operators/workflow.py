@@ -26,6 +26,11 @@ def first_line(body: Column) -> Column:
     return F.btrim(F.get(lines, F.lit(0)))
 
 
+def upserted(kept: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
+    """The loaded rows and the kept rows of other keys; loaded keys are unique."""
+    return kept.join(loaded.select(key), key, "left_anti").unionByName(loaded)
+
+
 def unpublished(approved: DataFrame, published: DataFrame, key: str) -> DataFrame:
     return approved.join(published.select(key), key, "left_anti")
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from marlstone.plans import filters, scans, searching  # noqa: F401
+from marlstone.plans.catalog import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "search_facets_synonyms"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -31,6 +31,11 @@ def worksheets(spark: SparkSession, paths: Sequence[str], key: str, required: Se
     return distinct.join(conflicts, key, "left_anti"), conflicts
 
 
+def plain_body(body):
+    """The body without vertical tabs, with line feeds alone as line ends."""
+    return F.replace(F.replace(body, F.lit("\x0b"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+
+
 RUN = "struct<textRun:struct<content:string>>"
 TREE = f"""struct<body:struct<content:array<struct<
   paragraph:struct<elements:array<{RUN}>>, sectionBreak:struct<sectionStyle:string>,
