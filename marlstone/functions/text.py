@@ -126,3 +126,20 @@ def nearest_rank(values: Column, share: float) -> Column:
 def labelled(parts: list[tuple[Column, Column]]) -> Column:
     """``label: value`` of the parts that have a value, one a line."""
     return F.concat_ws("\n", *[F.when(F.btrim(v) != "", F.concat(n, F.lit(": "), v)) for n, v in parts])
+
+
+def set_diff(old: Column, new: Column) -> Column:
+    """Struct of adds, drops and casing: values of one set alone, and those that differ in case only."""
+
+    def lowered(values: Column) -> Column:
+        return F.transform(values, F.lower)
+
+    def body(p: Column) -> Column:
+        extra, gone = F.array_except(p["n"], p["o"]), F.array_except(p["o"], p["n"])
+        known = lambda values, v: F.array_contains(lowered(values), F.lower(v))
+        return F.struct(
+            F.filter(extra, lambda v: ~known(p["o"], v)).alias("adds"), F.filter(gone, lambda v: ~known(p["n"], v)).alias("drops"),
+            F.filter(extra, lambda v: known(p["o"], v)).alias("casing"),
+        )
+
+    return let(F.struct(old.alias("o"), new.alias("n")), body)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +53,38 @@ def bootstrap_mean(values: DataFrame, value: str, rounds: int = 200, seed: int =
     each = values.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("k", times)
     means = each.groupBy("round").agg((F.sum(F.col("k") * F.col(value)) / F.sum("k")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+
+
+def violations(metrics: DataFrame, f1: float, recall: float, support: int) -> DataFrame:
+    """(value, rule) of the floors that a value misses; ``absent`` is predicted without any truth."""
+    true = F.col("tp") + F.col("fn")
+    rules = {"f1": F.col("f1") < f1, "recall": (true >= support) & (F.col("recall") < recall), "absent": (true == 0) & (F.col("fp") > 0)}
+    missed = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    return metrics.select("value", F.explode(missed).alias("rule"))
+
+
+def ranks(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """(by, id, rank from 1) in the given order."""
+    return rows.select(*by, "id", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("rank"))
+
+
+def rank_moves(old: DataFrame, new: DataFrame, k: int) -> DataFrame:
+    """(query, median, most): old rank minus new rank of the items in either top k; absent is k + 1."""
+    both = old.withColumnRenamed("rank", "a").join(new.withColumnRenamed("rank", "b"), ["query", "id"], "full").na.fill(k + 1, ["a", "b"])
+    d = both.withColumn("d", F.col("a") - F.col("b"))
+    return d.groupBy("query").agg(F.expr("percentile(d, 0.5)").alias("median"), F.max("d").cast("long").alias("most"))
+
+
+def index_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, low, high, mean, a column per share): the value at index floor(n * share), at most the last.
+
+    Values are counted first, and the running counts are those of different values of a group.
+    """
+    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(by)
+    upto = F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(w))
+    at = {name: F.least(F.floor(F.col("n") * share), F.col("n") - 1) for name, share in shares.items()}
+    columns = [F.min(F.when(F.col("upto") > i, F.col(value))).alias(name) for name, i in at.items()]
+    mean = F.round(F.sum(F.col("c") * F.col(value)) / F.sum("c"), 6)
+    return placed.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), mean.alias("mean"), *columns)
