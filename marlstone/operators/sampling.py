@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.scratch import written
+
+
+def _draw(id_col: str, seed: int) -> Column:
+    return F.xxhash64(F.col(id_col), F.lit(seed))
+
 
 def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Rows in an order drawn by the hash of id and seed."""
-    return rows.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    return rows.orderBy(_draw(id_col, seed), id_col)
+
+
+def first_of(rows: DataFrame, id_col: str, by: str, size: int, seed: int) -> DataFrame:
+    """Per value of ``by`` the ``size`` rows that are drawn first, in column ``__nth`` from 1.
+
+    Spark keeps the first ``size`` rows of a group in each task before it shuffles, so a value
+    with a third of all rows sends a few rows a task.
+    """
+    nth = Window.partitionBy(by).orderBy(_draw(id_col, seed), id_col)
+    return rows.withColumn("__nth", F.row_number().over(nth)).filter(F.col("__nth") <= size)
+
+
+def per_bucket(rows: DataFrame, id_col: str, bucket: str, size: int, seed: int = 1) -> DataFrame:
+    """``size`` rows of each bucket."""
+    return first_of(rows, id_col, bucket, size, seed).drop("__nth")
 
 
 def stratified(rows: DataFrame, id_col: str, stratum: str, size: int, seed: int = 1) -> DataFrame:
@@ -18,8 +39,28 @@ def stratified(rows: DataFrame, id_col: str, stratum: str, size: int, seed: int
     fill up in order of rank over all strata.
     """
     total = rows.count()
-    nth = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = rows.withColumn("__nth", F.row_number().over(nth)).join(F.broadcast(sizes), stratum)
+    ranked = first_of(rows, id_col, stratum, size, seed).join(F.broadcast(sizes), stratum)  # a row a stratum
     due = F.round(F.col("__n") * size / F.lit(max(total, 1)))
     return ranked.withColumn("__late", (F.col("__nth") > due).cast("int")).orderBy("__late", "__nth", id_col).limit(size).drop("__n", "__nth", "__late")
+
+
+def layered(rows: DataFrame, id_col: str, values: str, hard: Column, stratum: str, size: int, cover: int = 2, seed: int = 1) -> DataFrame:
+    """(id, layer): hard cases of each kind in turn, then cover of all values, then a stratified fill.
+
+    Layer ``hard`` takes a third of ``size``. Layer ``cover`` adds for each value of the array
+    ``values`` the first drawn items that have it, until ``cover`` items of the sample do; that
+    is one choice per value instead of a greedy loop, so no row is visited in sequence.
+    """
+    kinds = rows.withColumn("__kind", hard).filter("__kind IS NOT NULL")
+    first = first_of(kinds, id_col, "__kind", size, seed).orderBy("__nth", "__kind").limit(size // 3).select(id_col)
+    first = written(first.withColumn("layer", F.lit("hard")))
+    each = rows.select(id_col, F.explode(values).alias("__value"))
+    have = each.join(first.select(id_col), id_col, "left_semi").groupBy("__value").agg(F.count(F.lit(1)).alias("__have"))
+    rest = each.join(first.select(id_col), id_col, "left_anti")
+    needed = first_of(rest, id_col, "__value", cover, seed + 1).join(F.broadcast(have), "__value", "left")  # a row a value
+    second = needed.filter(F.col("__nth") + F.coalesce("__have", F.lit(0)) <= cover).select(id_col).distinct()
+    taken = written(first.union(second.withColumn("layer", F.lit("cover"))))
+    left = rows.join(taken.select(id_col), id_col, "left_anti").select(id_col, stratum)
+    fill = stratified(left, id_col, stratum, max(0, size - taken.count()), seed + 2).select(id_col)
+    return taken.union(fill.withColumn("layer", F.lit("fill")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import aggregates, filters, joins, scans, searching  # noqa: F401
+from marlstone.plans import aggregates, filters, joins, ranking, scans, searching, similarity  # noqa: F401
 from marlstone.plans.catalog import QUERIES, SQL
 
 FLAGSHIP = "search_facets_synonyms"
