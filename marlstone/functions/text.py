@@ -143,3 +143,14 @@ def set_diff(old: Column, new: Column) -> Column:
         )
 
     return let(F.struct(old.alias("o"), new.alias("n")), body)
+
+
+def changed_keys(old: Column, new: Column) -> Column:
+    """Sorted keys of two maps whose values differ or that only one of them has."""
+    keys = F.array_union(F.map_keys(old), F.map_keys(new))
+    return F.array_sort(F.filter(keys, lambda k: ~F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k))))
+
+
+def parsed_date(raw: Column) -> Column:
+    """A date written month/day/year or in ISO order, else null."""
+    return F.coalesce(F.try_to_timestamp(raw, F.lit("M/d/yyyy")), F.try_to_timestamp(raw, F.lit("yyyy-MM-dd"))).cast("date")

@@ -55,3 +55,24 @@ def run_identity(inputs: Sequence[Column]) -> Column:
     """A digest of inputs, each framed by its length so that different splits differ."""
     framed = [F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")) for c in inputs]
     return F.sha2(F.concat_ws("|", *framed), 256)
+
+
+def first_reason(rules: Sequence[tuple[str, Column]], otherwise: str) -> Column:
+    """The name of the first rule that holds; a null test doesn't."""
+    out = F.lit(otherwise)
+    for name, test in reversed(rules):
+        out = F.when(test, name).otherwise(out)
+    return out
+
+
+def decided(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Rows after approved submissions: (key, fields, version, status).
+
+    A submission's non-null fields win over the row that it updates, whose version goes up by
+    one; without such a row it is inserted as version 1. Keys are unique on both sides.
+    """
+    n = new.select(key, *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__new"))
+    both = old.join(n, key, "full")
+    status = F.when(F.col("__new").isNull(), "kept").when(F.col("version").isNull(), "inserted").otherwise("updated")
+    version = F.coalesce("version", F.lit(0)) + F.coalesce(F.col("__new").cast("int"), F.lit(0))
+    return both.select(key, *[F.coalesce(f"__{f}", f).alias(f) for f in fields], version.alias("version"), status.alias("status"))
