@@ -75,16 +75,19 @@ def rank_moves(old: DataFrame, new: DataFrame, k: int) -> DataFrame:
     return d.groupBy("query").agg(F.expr("percentile(d, 0.5)").alias("median"), F.max("d").cast("long").alias("most"))
 
 
-def index_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+def index_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], nearest: bool = False) -> DataFrame:
     """(by, low, high, mean, a column per share): the value at index floor(n * share), at most the last.
 
+    With ``nearest`` the index is ceil(n * share) - 1, at least the first.
+
     Values are counted first, and the running counts are those of different values of a group.
     """
     counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(by)
     upto = F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(w))
-    at = {name: F.least(F.floor(F.col("n") * share), F.col("n") - 1) for name, share in shares.items()}
+    n = F.col("n")
+    at = {k: F.greatest(F.ceil(n * x) - 1, F.lit(0)) if nearest else F.least(F.floor(n * x), n - 1) for k, x in shares.items()}
     columns = [F.min(F.when(F.col("upto") > i, F.col(value))).alias(name) for name, i in at.items()]
     mean = F.round(F.sum(F.col("c") * F.col(value)) / F.sum("c"), 6)
     return placed.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), mean.alias("mean"), *columns)

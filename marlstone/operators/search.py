@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.plans.scratch import written
 
 # Words that no query group is made of, and the weights of the text sections.
 STOP_WORDS = frozenset("a an and are as at be by for from in is it of on or that the this to was with".split())
@@ -65,27 +66,59 @@ def _weighted(weight: float):
     return lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight"))
 
 
-def matched(posts: DataFrame, groups: list[list[list[str]]]) -> DataFrame:
-    """(id, hits, score): how many groups an item matches, and the sum of their best weights.
+def _scores(groups: list[list[list[str]]], weight) -> Column:
+    """(hits, score): how many groups match, and the sum of their best alternatives' weights.
 
-    The query's words are a literal array in the filter, so the postings are scanned once and
-    only their matching rows are shuffled. Strict matching is hits = number of groups.
+    ``weight`` gives a word's weight, or null where it doesn't occur. An alternative matches if
+    all of its words occur, and weighs as much as the lightest of them.
     """
-    wanted = sorted({w for g in groups for alt in g for w in alt})
-    own = posts.filter(F.col("word").isin(wanted)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("w"))
 
     def best(group: list[list[str]]) -> Column:
         alternatives = []
         for alt in group:
-            values = [F.element_at("w", F.lit(x)) for x in alt]
+            values = [weight(x) for x in alt]
             whole = values[0].isNotNull()
             for v in values[1:]:
                 whole = whole & v.isNotNull()
             alternatives.append(F.when(whole, F.least(*values) if len(values) > 1 else values[0]).otherwise(F.lit(0.0)))
         return F.greatest(*alternatives) if len(alternatives) > 1 else alternatives[0]
 
-    scores = F.array(*[best(g) for g in groups])
-    return own.select("id", F.size(F.filter(scores, lambda x: x > 0)).alias("hits"), F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("score")).filter("hits > 0")
+    def body(scores: Column) -> Column:
+        return F.struct(F.size(F.filter(scores, lambda x: x > 0)).alias("hits"), F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("score"))
+
+    return T.let(F.array(*[best(g) for g in groups]), body)
+
+
+def wanted_words(groups: list[list[list[str]]]) -> list[str]:
+    return sorted({w for g in groups for alt in g for w in alt})
+
+
+def matched(posts: DataFrame, groups: list[list[list[str]]]) -> DataFrame:
+    """(id, hits, score) of the items of an index that match a group.
+
+    The query's words are a literal array in the filter, so the postings are scanned once and
+    only their matching rows are shuffled. Strict matching is hits = number of groups.
+    """
+    own = posts.filter(F.col("word").isin(wanted_words(groups))).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("w"))
+    return own.select("id", _scores(groups, lambda x: F.try_element_at("w", F.lit(x))).alias("m")).select("id", "m.hits", "m.score").filter("hits > 0")
+
+
+def row_scores(sections: dict[str, Column], groups: list[list[list[str]]]) -> Column:
+    """(hits, score) of a row without an index: its texts are cut into words once, nothing is shuffled."""
+    wanted = F.array(*[F.lit(w) for w in wanted_words(groups)])
+    names = sorted(sections, key=lambda s: -SECTION_WEIGHTS[s])
+    held = F.struct(*[F.array_intersect(T.words(sections[s]), wanted).alias(s) for s in names])
+
+    def body(p: Column) -> Column:
+        def weight(word: str) -> Column:
+            out = F.lit(None).cast("double")
+            for s in reversed(names):
+                out = F.when(F.array_contains(p[s], word), F.lit(SECTION_WEIGHTS[s])).otherwise(out)
+            return out
+
+        return _scores(groups, weight)
+
+    return T.let(held, body)
 
 
 def facet_filter(request: Request) -> list[Column]:
@@ -98,21 +131,21 @@ def search(items: DataFrame, request: Request, id_col: str, title: str, sections
 
     All groups must match, or the title be similar by trigrams; if fewer than ENOUGH items
     are left, any group will do. The rank is the larger of the text score and the title's
-    similarity; ties end with title and id. A page past the end has no rows.
+    similarity; ties end with title and id. A page past the end has no rows. The items are
+    scanned once: what matches at all is written, and the counts and the page read that.
     """
     held = items
     for test in [*facet_filter(request), *([live] if live is not None else [])]:
         held = held.filter(test)
     groups = expand(request.query, synonyms)
     if groups:
-        found = matched(postings(held, id_col, sections), groups)
         alike = T.trigram_similarity(F.col(title), F.lit(request.query))
-        scored = held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), alike.alias("alike")).join(found, "id", "left")
+        scored = held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.coalesce(alike, F.lit(0.0)).alias("alike"), row_scores(sections, groups).alias("m"))
         near = F.col("alike") >= FUZZY
-        strict = scored.filter((F.coalesce("hits", F.lit(0)) == len(groups)) | near)
-        if strict.limit(ENOUGH).count() < ENOUGH:
-            strict = scored.filter(F.col("hits").isNotNull() | near)
-        ranked = strict.select("id", "title", F.greatest(F.coalesce("score", F.lit(0.0)), "alike").alias("rank"))
+        scored = written(scored.select("id", "title", "alike", "m.hits", "m.score").filter((F.col("hits") > 0) | near))
+        strict = scored.filter((F.col("hits") == len(groups)) | near)
+        found = strict if strict.limit(ENOUGH).count() == ENOUGH else scored
+        ranked = found.select("id", "title", F.greatest("score", "alike").alias("rank"))
     else:
         ranked = held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.lit(0.0).alias("rank"))
     keys = {"title": []}.get(request.order, [F.col("rank").desc()])

@@ -226,8 +226,7 @@ def a24_index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a26_nearest_rank", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY event_type")
 def a26_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))
+    return E.index_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p90": 0.9}, nearest=True).select("event_type", "p50", "p90")
 
 
 @query("a31_hash_spread", "SELECT digest, n, high - low AS spread FROM (SELECT sha256(lower(regexp_replace(substr(title, 1, 12), '[^a-zA-Z]', '', 'g'))) AS digest, count(*) AS n, min(length(body)) AS low, max(length(body)) AS high FROM (SELECT split_part(text, chr(10), 1) AS title, text AS body FROM documents) GROUP BY 1) WHERE n > 1 AND high - low > 500 ORDER BY spread DESC, digest LIMIT 10")
