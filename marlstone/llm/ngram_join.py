@@ -231,3 +231,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the number of their 5-grams and the component of their links."""
     return similar_groups(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), e AS (
+  SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT DISTINCT a AS id, a AS r FROM e UNION SELECT id, b FROM reach JOIN e ON r = a
+), low AS (
+  SELECT id, min(r) AS r FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.r, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.id = d.doc_id
+"""

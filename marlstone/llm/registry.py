@@ -16,4 +16,4 @@ QUERIES = {
     "op10_repeated_bytes": repeated_bytes.op10_repeated_bytes,
     "op6_secret_scans": secret_scans.op6_secret_scans,
 }
-SQL = {"op3_quality_rules": quality_rules.SQL}
+SQL = {"op3_quality_rules": quality_rules.SQL, "op9_ngram_join": ngram_join.SQL, "op10_repeated_bytes": repeated_bytes.SQL}

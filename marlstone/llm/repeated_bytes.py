@@ -326,3 +326,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what is removed of them and the digest of the rest."""
     return remove_repeats(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)
+), firsts AS (
+  SELECT s, min(doc_id) AS m FROM win GROUP BY s
+), rep AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM win JOIN firsts USING (s) WHERE m < doc_id
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM rep) GROUP BY doc_id, run
+), gaps AS (
+  SELECT r.doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY a) + 1, 2 * (a - lag(b, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY a))) AS gap FROM runs r JOIN d USING (doc_id)
+), per AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(gap, '' ORDER BY a) AS kept FROM gaps GROUP BY doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN per.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
