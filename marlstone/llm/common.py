@@ -15,12 +15,26 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 #: Rows of a side that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of an Arrow batch that a Python worker gets, besides its last row.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Arrow batches of at most BATCH_BYTES from now on; a smaller bound stays.
+
+    Batches are cut by rows alone otherwise, and ten thousand long texts take a worker's memory.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name) or ""
+    if not now.removesuffix("b").isdigit() or int(now.removesuffix("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-space characters; null text gives an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents
+from marlstone.llm.common import bounded_batches, documents
 
 #: Bytes of text a language is learned from, at most (about), by the hash of the id.
 SAMPLE_BYTES = 6_000_000
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: st
                 low, held, texts = k + 1, 0, []
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "held_out", "text").mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double")
+    return bounded_batches(rows).select("id", "held_out", "text").mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

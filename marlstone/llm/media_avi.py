@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents
+from marlstone.llm.common import bounded_batches, documents
 
 #: A frame is 32 x 32 grey pixels: 16 blocks of 64 coefficients, one payload byte each.
 SIDE = 32
@@ -313,7 +313,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                     rows, low, held = [], k + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(
         run,
         f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
         "clips array<struct<clip:int,start_s:double,end_s:double,bin:int>>, media binary",

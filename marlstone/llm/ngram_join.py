@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, small, written
+from marlstone.llm.common import bounded_batches, documents, small, written
 from marlstone.llm.components import components
 from marlstone.llm.slots import bits_for, slot_levels, text_bytes
 from marlstone.llm.text_classes import text_classes
@@ -20,7 +20,7 @@ N = 5
 MANY = 64
 #: Fragments of the global order: ranges of the hash, within each of two classes of frequency.
 RANGES = 4
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _P = 0xD1B54A32D192ED03
 _POWERS: list[np.ndarray] = []
@@ -128,7 +128,7 @@ def indexed(docs: DataFrame, levels: Broadcast) -> DataFrame:
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, prefix array<bigint>, parts array<array<bigint>>")
+    return bounded_batches(docs).mapInArrow(run, f"id {kind}, n long, prefix array<bigint>, parts array<array<bigint>>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

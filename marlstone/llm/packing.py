@@ -12,12 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, written
+from marlstone.llm.common import bounded_batches, documents, written
 
 END_ID = 2
 WINDOW = 4096
 #: Pieces, and their plain forms, whose ids a worker keeps; a store is emptied when it is full.
-KEPT = 700_000
+KEPT = 400_000
 
 
 class WordTokens:
@@ -135,7 +135,7 @@ def tokenized(docs: DataFrame, id_col: str, text: str, path: str | None = None,
                     texts, low, held = [], k + 1, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, part long, first long, n long, ids binary")
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, part long, first long, n long, ids binary")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:

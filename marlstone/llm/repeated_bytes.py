@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, small, written
+from marlstone.llm.common import bounded_batches, documents, small, written
 from marlstone.llm.ngram_join import mixed, slices
 from marlstone.llm.slots import bits_for, slot_levels, text_bytes
 from marlstone.llm.text_classes import text_classes
@@ -268,7 +268,7 @@ def repeated_spans(reps: DataFrame, levels: Broadcast | None) -> DataFrame:
         if held:
             yield done()
 
-    sent = reps.select(F.col("id").cast("long"), "text").mapInArrow(send, SENT).repartition("bucket").sortWithinPartitions("bucket")
+    sent = bounded_batches(reps).select(F.col("id").cast("long"), "text").mapInArrow(send, SENT).repartition("bucket").sortWithinPartitions("bucket")
     found = sent.mapInArrow(match, SENT).repartition("bucket").sortWithinPartitions("bucket")
     return found.mapInArrow(gather, "id long, spans array<struct<start:long,end:long>>")
 

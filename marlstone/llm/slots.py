@@ -15,8 +15,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import bounded_batches
+
 #: Slots of one bucket; a key's place in its bucket takes two bytes.
 BUCKET_BITS = 16
+#: Keys that a task holds before it sends them.
+HELD = 2_000_000
 #: Counts stop here.
 MOST = 200
 #: 2^29 slots are 64 MB a level, which is the most that is broadcast; with far more keys than
@@ -69,7 +73,7 @@ def slot_levels(
         for keys in keys_of(batches):
             held.append((keys >> np.uint64(64 - bits)).astype(np.uint32))
             size += len(keys)
-            if size > 6_000_000:
+            if size > HELD:
                 yield from flush()
                 size = 0
         if size:
@@ -93,7 +97,7 @@ def slot_levels(
         if now is not None:
             yield from done()
 
-    sent = docs.mapInArrow(send, "bucket int, low binary")
+    sent = bounded_batches(docs).mapInArrow(send, "bucket int, low binary")
     packed = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, packed binary")
     size = 1 << (BUCKET_BITS - 3)
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in levels]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents
+from marlstone.llm.common import bounded_batches, documents
 
 #: Documents of the labelled sample that the chain is fitted on, at most (about).
 SAMPLE = 20_000
@@ -121,7 +121,7 @@ def informative(sample: DataFrame, categories: list[str], least: int = LEAST, sc
         words = list(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())] + [pa.array([c[w] for w in words], pa.int64()) for c in counts], ["feature", "n", *categories])
 
-    per = sample.select("id", "text", *categories).mapInArrow(count, f"feature string, n long, {', '.join(f'{c} long' for c in categories)}")
+    per = bounded_batches(sample).select("id", "text", *categories).mapInArrow(count, f"feature string, n long, {', '.join(f'{c} long' for c in categories)}")
     per = per.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories]).filter(F.col("n") >= least)
     total = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     best = F.lit(0.0)
@@ -193,7 +193,7 @@ def scored(docs: DataFrame, chain: dict, categories: list[str], text: str = "tex
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, *[StructField(f"{prefix}{c}", DoubleType()) for c in categories]])
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def label_categories() -> dict[str, Column]:
