@@ -94,12 +94,13 @@ def shingle_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray
 
 
 def indexed(docs: DataFrame, levels: Broadcast) -> DataFrame:
-    """(id, n, prefix, parts): the n-gram count of each document and what its links can rest on.
+    """(id, n, alone, core, prefix, parts): the n-gram count of each document and what its links can rest on.
 
     The global order puts n-grams of one document first, then others, then frequent ones, each
     by hash. ``prefix`` holds those of the first n - ceil(0.8 n) + 1 n-grams that may be in other
     documents; two similar sets share one of these. ``parts`` has all n-grams that may be in
-    other documents, by fragment of the order. Both are null where the prefix is empty.
+    other documents, by fragment of the order. Both are null where the prefix is empty. ``alone`` counts
+    the n-grams of one document; ``core`` is larger the more n-grams are frequent, up to 1000.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +111,13 @@ def indexed(docs: DataFrame, levels: Broadcast) -> DataFrame:
             rank = known.at_least(h, 0).astype(np.uint8) + known.at_least(h, 1)
             border = np.r_[0, np.cumsum(n)]
             prefix, parts = [], []
+            alones, cores = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             signed = h.view(np.int64)
             for i in range(len(texts)):
                 own, kind = signed[border[i] : border[i + 1]], rank[border[i] : border[i + 1]]
                 p = len(own) - -(-4 * len(own) // 5) + 1 if len(own) else 0
-                alone = int((kind == 0).sum())
+                alone = alones[i] = int((kind == 0).sum())
+                cores[i] = 500 * int(kind.sum()) // max(len(own), 1)
                 if alone >= p:
                     prefix.append(None), parts.append(None)
                     continue
@@ -123,12 +126,12 @@ def indexed(docs: DataFrame, levels: Broadcast) -> DataFrame:
                 cuts = [x[(x.view(np.uint64) >> np.uint64(62)) == r] for x in (one, two) for r in range(RANGES)]
                 parts.append(cuts)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n.astype(np.int64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.list_(pa.int64())))],
-                ["id", "n", "prefix", "parts"],
+                [ids, pa.array(n.astype(np.int64)), pa.array(alones), pa.array(cores), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.list_(pa.int64())))],
+                ["id", "n", "alone", "core", "prefix", "parts"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return bounded_batches(docs).mapInArrow(run, f"id {kind}, n long, prefix array<bigint>, parts array<array<bigint>>")
+    return bounded_batches(docs).mapInArrow(run, f"id {kind}, n long, alone long, core long, prefix array<bigint>, parts array<array<bigint>>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,10 +159,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     takes part. Rows that repeat an id count as one document if the text repeats, too.
 
     Candidates share an n-gram of their prefixes in a global order, rare n-grams first. In a
-    group of documents with the same n-gram one is the centre, by a hash of the id, and each
-    document is compared with the centre that it shares most n-grams with, for two hashes; so a
-    family of near copies joins after a number of comparisons in proportion to its size. Then each pair that still lies in two components, shares prefix
-    n-grams and has enough of them for a similarity of 0.8 is counted exactly; no link between
+    group of documents with the same n-gram two are centres, one by its share of frequent
+    n-grams, which the original of near copies has most of, and one by a hash of the id. Each
+    document is compared with the centre of either kind that it shares most n-grams with; so a
+    family of near copies joins after a number of comparisons in proportion to its size. Then
+    each pair that still lies in two components is counted exactly if it has a common prefix
+    n-gram from which on both have enough n-grams left for a similarity of 0.8 (the first
+    common one always does), and if its common prefix n-grams allow it; no link between
     different components is lost, and links within one would not change it.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -177,16 +183,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     index = written(indexed(reps, levels))
     levels.destroy()
     sets = index.filter("prefix IS NOT NULL")
-    posts = sets.select("id", "n", F.explode("prefix").alias("gram"))
+    posts = sets.select("id", "n", "alone", "core", F.posexplode("prefix").alias("at", "gram"))
+    posts = posts.select("id", "n", "core", "gram", (F.col("n") - F.col("alone") - F.col("at")).alias("room"))
     shared = posts.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("gram")
     posts = written(posts.join(shared, "gram"))
 
     def prefix(n: Column) -> Column:
         return n - F.ceil(4 * n / 5) + 1
 
-    # 1. each document against the one centre of its groups that it shares most n-grams with, for two sets of centres
-    lead = [F.min_by(F.struct("id", "n"), F.xxhash64(F.lit(s), F.col("id"))).alias(f"c{s}") for s in (1, 2)]
-    centres = posts.groupBy("gram").agg(*lead).select("gram", F.posexplode(F.array("c1", "c2")).alias("nth", "c"))
+    # 1. each document against the one centre of its groups that it shares most n-grams with, for both kinds of centres
+    hashed = F.xxhash64(F.lit(2), F.col("id"))
+    first, second = F.max_by(F.struct("id", "n"), F.struct("core", hashed)), F.min_by(F.struct("id", "n"), hashed)
+    centres = posts.groupBy("gram").agg(first.alias("c1"), second.alias("c2")).select("gram", F.posexplode(F.array("c1", "c2")).alias("nth", "c"))
     star = posts.join(centres, "gram").filter((F.col("id") != F.col("c.id")) & _near_sizes(F.col("n"), F.col("c.n")))
     star = star.groupBy("nth", "id", F.col("c.id").alias("centre")).agg(F.count(F.lit(1)).alias("grams"), F.max(F.greatest("n", "c.n")).alias("n"))
     star = star.filter(5 * F.col("grams") >= prefix(F.col("n")))  # the rest wait for the second step
@@ -195,19 +203,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     near = components(linked(star, sets))
 
     # 2. every pair between two components
-    held = posts.join(near, "id", "left").select("gram", "id", "n", F.coalesce("label", "id").alias("label"))
+    held = posts.join(near, "id", "left").select("gram", "id", "n", "room", F.coalesce("label", "id").alias("label"))
     per = held.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed_grams = per.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     held = written(held.join(mixed_grams.select("gram", "main"), "gram"))
-    minor = held.filter("label <> main").select("gram", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    other = held.select("gram", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "main")
+    minor = held.filter("label <> main").select("gram", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("rx"), F.col("label").alias("lx"))
+    other = held.select("gram", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("room").alias("ry"), F.col("label").alias("ly"), "main")
     across = minor.join(other, "gram").filter(
-        (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & _near_sizes(F.col("nx"), F.col("ny"))
+        (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & (9 * F.least("rx", "ry") >= 4 * (F.col("nx") + F.col("ny")))
     )
-    across = across.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(
-        F.count(F.lit(1)).alias("grams"), F.max(F.col("nx") + F.col("ny")).alias("n"), F.max(F.greatest(F.col("nx") - prefix(F.col("nx")), F.col("ny") - prefix(F.col("ny")))).alias("rest")
-    )
-    across = across.filter("9 * (grams + rest) >= 4 * n")
+    across = written(across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
+    grams = F.size(F.array_intersect("px", "py"))
+    rest = F.greatest(F.col("nx") - prefix(F.col("nx")), F.col("ny") - prefix(F.col("ny")))
+    across = across.join(side("x"), "x").join(side("y"), "y").filter(9 * (grams + rest) >= 4 * (F.col("nx") + F.col("ny"))).select("x", "y")
     more = written(linked(across, sets))
     labelled = lambda c: near.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
     bridge = more.join(labelled("x"), "x", "left").join(labelled("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
