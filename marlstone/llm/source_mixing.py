@@ -27,13 +27,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeats
     turn = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("w", F.element_at(turn, ((F.row_number().over(nth) - 1) % len(weights) + 1).cast("int")))
     per = per.withColumn("cap", F.col("source_size") * float(repeats)).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    rising = Window.orderBy("ratio", F.col("source").asc_nulls_last())
+    before = rising.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
         F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     )
-    full = per.withColumn("level", level).withColumn("full", F.col("ratio") <= F.col("level"))
-    free = F.min(F.when(~F.col("full"), F.struct("ratio", "level"))).over(whole)["level"]
+    full = per.withColumn("level", level).withColumn("nth", F.row_number().over(rising)).withColumn("full", F.col("ratio") <= F.col("level"))
+    # of the first row that isn't full: later rows subtract its cap, also those of the same ratio
+    free = F.min(F.when(~F.col("full"), F.struct("nth", "level"))).over(whole)["level"]
     return full.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(free * F.col("w")).alias("target"))
 
 

@@ -173,6 +173,14 @@ def test_mix_meets_its_targets(spark):
     assert all(got[i] <= 3 * size[i] for i in got)
 
 
+def test_targets_of_tied_sources(spark):
+    for sizes in ({"a": 100, "b": 100, "c": 100, "d": 100}, {"a": 50, "b": 20, "c": 10}, {"a": 50, "b": 20, "c": 10, "d": 50, "e": 1}):
+        rows = source_mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        want = water_level(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(sizes)})
+        assert np.allclose([r.target for r in sorted(rows)], [want[s] for s in sizes])
+        assert abs(sum(r.target for r in rows) - sum(sizes.values())) < 1e-6
+
+
 def test_shard_quotas_sum_to_the_draws(spark):
     counts = spark.createDataFrame([(1, 100), (2, 7), (3, 0), (4, 1000)], "source_ix int, draws long")
     rows = source_mixing.shard_quotas(counts, 8, 3).collect()
