@@ -13,19 +13,23 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Strings whose entropy is measured, and the symbols that are counted, by character class.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Strings whose entropy is measured, and the symbols that are counted, by character class. A
+#: ``=`` ends a string, so a name is not measured with its value; as padding it belongs to the string.
+PADDING = r"={1,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{20,}}+(?:{PADDING})?|[A-Za-z0-9+/_-]{{18,19}}+{PADDING})"
 CLASSES = {
     "hex": ("0123456789abcdef", r"^[0-9a-fA-F]+$", 3.0),
     "upper": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[0-9A-Z]+$", 3.6),
     "base64": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", r"^[A-Za-z0-9+/_=-]+$", 3.8),
 }
-#: Candidates that are never secrets: one class of symbols only, UUIDs, dates, examples, runs, long paths.
+#: Candidates that are never secrets as a whole: one class of symbols only, UUIDs, dates, paths and names of word-like segments.
 ALLOWED = (
     r"^[0-9+/_=-]+$", r"^[A-Za-z+/_=-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|dummy|changeme", r"(?i)abcdefgh|01234567|12345678", r"^(?:[A-Za-z]{3,}[0-9]{0,4}[/_=-]+){2,}",
+    r"^(?:[A-Za-z]{3,}[0-9]{0,4}[/_-]+){2,}+(?:(?:[A-Za-z]{3,}[0-9]{1,4}|[A-Za-z]+|[0-9]{1,4})(?:[/_-]+|=*$))*+$",
 )
+#: Examples and runs; no window that one of them touches counts.
+EXAMPLES = r"(?i)example|placeholder|dummy|changeme|abcdefgh|01234567|12345678"
 
 
 def window_entropy(s: Column, symbols: str, width: int) -> Column:
@@ -65,14 +69,14 @@ def window_entropy(s: Column, symbols: str, width: int) -> Column:
 
 
 def entropy_spans(text: Column, width: int = 20) -> Column:
-    """Spans of candidate strings with a window above its class's threshold and not allow-listed."""
+    """Spans of candidate strings, not allow-listed, with a window above its class's threshold that no example touches."""
     found = F.filter(matches(text, CANDIDATE), lambda x: ~x["s"].rlike("|".join(f"(?:{p})" for p in ALLOWED)))
 
     def high(x: Column) -> Column:
         rule = None
         for symbols, shape, least in CLASSES.values():
             s = F.lower(x["s"]) if symbols.islower() or symbols == CLASSES["hex"][0] else x["s"]
-            test = window_entropy(s, symbols, width) >= least
+            test = F.exists(F.split(s, EXAMPLES, -1), lambda part: window_entropy(part, symbols, width) >= least)  # noqa: B023
             rule = F.when(x["s"].rlike(shape), test) if rule is None else rule.when(x["s"].rlike(shape), test)
         return rule.otherwise(F.lit(False))
 

@@ -107,6 +107,16 @@ def test_allow_list_suppresses_entropy_spans(spark):
     assert [[x["kind"] for x in r.spans] for r in rows] == [[], ["entropy"], []]
 
 
+def test_allow_list_leaves_secrets_beside_names_and_examples(spark):
+    key = "zQ9x7Lp2Rt5Vw8Yk3Mn6Bc4Hd1Js0Gf7Ta9Ue2Xi"
+    found = [f"access_key={key}", f"private_key={key}", f"aws_access_key={key}", f"aws_secret_access_key={key}==", f"github_pat_{key[:22]}_{key}", f"{key}example{key}", f"{key}12345678"]
+    never = ["src/module1/part2/file3/other4/thing5", "blog/posts/2024/01/how-to-make-a-cake", "one_name/" * 5000, f"{key[:15]}example{key[:15]}", f"some_name={key[:12]}"]
+    rows = secret_scans.find_secrets(frame(spark, found + never).drop("spans")).orderBy("doc_id").select("spans").collect()
+    spans = [[(x["start"], x["end"]) for x in r.spans if x["kind"] == "entropy"] for r in rows]
+    starts = [t.index("=") + 1 if k < 4 else 0 for k, t in enumerate(found)]
+    assert spans == [[(a, len(t))] for a, t in zip(starts, found, strict=True)] + [[]] * len(never)
+
+
 def measures(t):
     t = t or ""
     w = WORD.findall(t)
