@@ -24,9 +24,12 @@ from marlstone.llm.text_classes import text_classes
 
 LENGTH, GRAM = 50, 20
 SIDE = LENGTH - GRAM
-#: Buckets of keys and of documents; text bytes that a task holds records of before it sends them.
-BUCKETS, HELD = 1024, 12 << 20
+#: Buckets of keys, windows and documents, at least; text bytes a bucket beyond that; text bytes that a task holds records of before it sends them.
+BUCKETS, BUCKET_BYTES, HELD = 1024, 4 << 20, 12 << 20
+#: Documents from which on the records of a key don't meet, but only their windows by their hash; records whose windows are compared at once.
+FREQUENT, COMPARED = 200, 40_000
 RECORD = np.dtype([("key", "<u8"), ("id", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("around", "u1", (2 * SIDE,))])
+WINDOW = np.dtype([("window", "<u8"), ("id", "<i8"), ("start", "<u4")])
 SPAN = np.dtype([("id", "<i8"), ("start", "<u4"), ("end", "<u4")])
 _P = 0xD1B54A32D192ED03
 
@@ -121,28 +124,44 @@ def first_of_context(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r[r["id"] == least], spans
 
 
+def _by_key(r: np.ndarray) -> Iterator[np.ndarray]:
+    """Records sorted by key, about COMPARED at a time; those of one key stay together."""
+    r = r[np.argsort(r["key"], kind="stable")]
+    new = np.flatnonzero(np.r_[True, r["key"][1:] != r["key"][:-1]]) if len(r) else np.zeros(0, np.int64)
+    low = 0
+    while low < len(r):
+        at = np.searchsorted(new, low + COMPARED)
+        high = int(new[at]) if at < len(new) else len(r)
+        yield r[low:high]
+        low = high
+
+
+def _window_hashes(r: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bytes left of the gram, records that have the window, its hashes), for each place of the gram in the window."""
+    weight = np.cumprod(np.r_[np.uint64(1), np.full(2 * SIDE - 1, _P, np.uint64)])
+    total = np.zeros((len(r), 2 * SIDE + 1), np.uint64)
+    np.cumsum((r["around"].astype(np.uint64) + np.uint64(1)) * weight, axis=1, out=total[:, 1:])
+    back = pow(_P, -1, 1 << 64)
+    for o in range(SIDE + 1):
+        valid = np.flatnonzero((r["left"] >= o) & (r["right"] >= SIDE - o))
+        window = (total[valid, 2 * SIDE - o] - total[valid, SIDE - o]) * np.uint64(pow(back, SIDE - o, 1 << 64))
+        yield o, valid, mixed(mixed(window) ^ r["key"][valid])
+
+
 def repeated_windows(r: np.ndarray) -> np.ndarray:
     """Spans of windows that a record with the same key and a smaller id has as well.
 
     ``r`` has each context's records of its smallest id only. The windows of an anchor by 20
     bytes at least, so those that are repeated cover one span.
     """
-    order = np.argsort(r["key"], kind="stable")
-    r = r[order]
-    same = np.r_[False, r["key"][1:] == r["key"][:-1]]
-    r = r[same | np.r_[same[1:], False]] if len(r) else r
-    most, least = np.full(len(r), -1), np.full(len(r), SIDE + 1)
-    if len(r):
-        weight = np.cumprod(np.r_[np.uint64(1), np.full(2 * SIDE - 1, _P, np.uint64)])
-        total = np.zeros((len(r), 2 * SIDE + 1), np.uint64)
-        np.cumsum((r["around"].astype(np.uint64) + np.uint64(1)) * weight, axis=1, out=total[:, 1:])
-        back = pow(_P, -1, 1 << 64)
-        for o in range(SIDE + 1):  # bytes left of the gram in the window
-            valid = np.flatnonzero((r["left"] >= o) & (r["right"] >= SIDE - o))
+    out = [np.zeros(0, SPAN)]
+    for r in _by_key(r):
+        same = np.r_[False, r["key"][1:] == r["key"][:-1]]
+        r = r[same | np.r_[same[1:], False]]
+        most, least = np.full(len(r), -1), np.full(len(r), SIDE + 1)
+        for o, valid, window in _window_hashes(r):
             if len(valid) < 2:
                 continue
-            window = (total[valid, 2 * SIDE - o] - total[valid, SIDE - o]) * np.uint64(pow(back, SIDE - o, 1 << 64))
-            window = mixed(mixed(window) ^ r["key"][valid])
             by = np.lexsort((r["id"][valid], window))
             window, row = window[by], valid[by]
             new = np.r_[True, window[1:] != window[:-1]]
@@ -150,10 +169,35 @@ def repeated_windows(r: np.ndarray) -> np.ndarray:
             hit = row[r["id"][row] > smallest]
             most[hit] = np.maximum(most[hit], o)
             least[hit] = np.minimum(least[hit], o)
-    hit = most >= 0
-    spans = np.zeros(int(hit.sum()), SPAN)
-    spans["id"], spans["start"], spans["end"] = r["id"][hit], r["pos"][hit] - most[hit], r["pos"][hit] - least[hit] + LENGTH
-    return spans
+        hit = most >= 0
+        spans = np.zeros(int(hit.sum()), SPAN)
+        spans["id"], spans["start"], spans["end"] = r["id"][hit], r["pos"][hit] - most[hit], r["pos"][hit] - least[hit] + LENGTH
+        out.append(spans)
+    return np.concatenate(out)
+
+
+def windows_of(r: np.ndarray) -> np.ndarray:
+    """All windows of some records."""
+    out = [np.zeros(0, WINDOW)]
+    for o, valid, window in _window_hashes(r):
+        own = np.zeros(len(valid), WINDOW)
+        own["window"], own["id"], own["start"] = window, r["id"][valid], r["pos"][valid] - o
+        out.append(own)
+    return np.concatenate(out)
+
+
+def first_of_window(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each window's places in its smallest document, once; spans of its places in larger ones)."""
+    w = w[np.lexsort((w["start"], w["id"], w["window"]))]
+    if not len(w):
+        return w, np.zeros(0, SPAN)
+    new = np.r_[True, w["window"][1:] != w["window"][:-1]]
+    again = np.r_[False, ~new[1:] & (w["id"][1:] == w["id"][:-1]) & (w["start"][1:] == w["start"][:-1])]
+    least = w["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = w[w["id"] > least]
+    spans = np.zeros(len(later), SPAN)
+    spans["id"], spans["start"], spans["end"] = later["id"], later["start"], later["start"] + LENGTH
+    return w[(w["id"] == least) & ~again], merged(spans)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -193,15 +237,22 @@ def _received(n: int, blob: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def _by_id(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32)
+SENT = "bucket int, kind int, n int, rows binary"
+
 
+def repeated_spans(reps: DataFrame, levels: Broadcast, buckets: int = BUCKETS) -> DataFrame:
+    """(id, spans): the bytes of (id, text) to remove, as sorted disjoint spans; ids are integers.
 
-SENT = "bucket int, kind int, n int, rows binary"
+    The second of the ``levels`` tells frequent keys. Their records stay in their task, which
+    sends, of each of their windows, the places in the smallest of its documents; so a passage
+    of most documents is a few rows a task, and rows that differ are dealt by different hashes.
+    """
 
+    def dealt(values: np.ndarray) -> np.ndarray:
+        return (values % np.uint64(buckets)).astype(np.int32)
 
-def repeated_spans(reps: DataFrame, levels: Broadcast | None) -> DataFrame:
-    """(id, spans): the bytes of (id, text) to remove, as sorted disjoint spans; ids are integers."""
+    def of_ids(spans: np.ndarray) -> pa.RecordBatch:
+        return _sent(dealt(mixed(spans["id"].astype(np.uint64))), spans, 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -211,13 +262,20 @@ def repeated_spans(reps: DataFrame, levels: Broadcast | None) -> DataFrame:
             firsts, spans = first_of_context(np.concatenate(held))
             held.clear()
             if len(spans):
-                spans = merged(spans)
-                yield _sent(_by_id(spans["id"]), spans, 1)
-            if len(firsts):
-                yield _sent((firsts["key"] % np.uint64(BUCKETS)).astype(np.int32), firsts, 0)
+                yield of_ids(merged(spans))
+            frequent = levels.value.at_least(firsts["key"], 1)
+            for own in _by_key(firsts[frequent]):
+                for low in range(0, len(own), COMPARED):
+                    windows, spans = first_of_window(windows_of(own[low : low + COMPARED]))
+                    if len(spans):
+                        yield of_ids(spans)
+                    if len(windows):
+                        yield _sent(dealt(windows["window"]), windows, 2)
+            if not frequent.all():
+                yield _sent(dealt(firsts["key"][~frequent]), firsts[~frequent], 0)
 
         for ids, texts in slices(batches, 1 << 18):
-            held.append(records(ids.to_numpy(zero_copy_only=False), texts, levels.value if levels else None))
+            held.append(records(ids.to_numpy(zero_copy_only=False), texts, levels.value))
             size += sum(map(len, texts))
             if size > HELD:
                 yield from flush()
@@ -229,22 +287,24 @@ def repeated_spans(reps: DataFrame, levels: Broadcast | None) -> DataFrame:
         now, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            firsts, spans = first_of_context(np.concatenate(held))
-            spans = np.concatenate([spans, repeated_windows(firsts)])
+            if now[1] == 2:
+                _, spans = first_of_window(np.concatenate(held))
+            else:
+                firsts, spans = first_of_context(np.concatenate(held))
+                spans = np.concatenate([spans, repeated_windows(firsts)])
             if len(spans):
-                spans = merged(spans)
-                yield _sent(_by_id(spans["id"]), spans, 1)
+                yield of_ids(merged(spans))
 
         for batch in batches:
             for bucket, kind, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, kind, n, blob), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "n", "rows"])
                     continue
-                if bucket != now and held:
+                if (bucket, kind) != now and held:
                     yield from done()
                     held = []
-                now = bucket
-                held.append(_received(n, blob, RECORD))
+                now = bucket, kind
+                held.append(_received(n, blob, WINDOW if kind == 2 else RECORD))
         if held:
             yield from done()
 
@@ -268,7 +328,7 @@ def repeated_spans(reps: DataFrame, levels: Broadcast | None) -> DataFrame:
         if held:
             yield done()
 
-    sent = bounded_batches(reps).select(F.col("id").cast("long"), "text").mapInArrow(send, SENT).repartition("bucket").sortWithinPartitions("bucket")
+    sent = bounded_batches(reps).select(F.col("id").cast("long"), "text").mapInArrow(send, SENT).repartition("bucket").sortWithinPartitions("bucket", "kind")
     found = sent.mapInArrow(match, SENT).repartition("bucket").sortWithinPartitions("bucket")
     return found.mapInArrow(gather, "id long, spans array<struct<start:long,end:long>>")
 
@@ -280,9 +340,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     document of a smaller id; ``kept`` is the rest. Null text is empty; texts under 50 bytes
     stay whole; of rows with the same id none removes
     bytes of another, and a null id is neither smaller nor larger than any. Equal texts are one class: all but those of its
-    smallest id go whole, and that one takes part in the search. What meets in one task is what
-    one bucket of keys holds: one record per different surroundings of a key, at most one per
-    document and place for the ends of a passage that many documents share.
+    smallest id go whole, and that one takes part in the search. Buckets grow in number with
+    the bytes. What meets in one task is what one bucket holds: the records of keys of fewer
+    than FREQUENT documents, and for the windows of other keys the places of one document a task.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     classes = written(text_classes(given).filter("id > rep").select("id", "key").distinct())
@@ -297,8 +357,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             doc, key = doc[order], key[order]
             yield key[np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]] if len(key) else key
 
-    levels = slot_levels(reps, keys_of, bits_for(text_bytes(given, "text") / 15, 8), (2,))
-    spans = written(repeated_spans(reps, levels))
+    size = text_bytes(given, "text")
+    levels = slot_levels(reps, keys_of, bits_for(size / 15, 8), (2, FREQUENT))
+    spans = written(repeated_spans(reps, levels, max(BUCKETS, size // BUCKET_BYTES)))
     levels.destroy()
     copied = classes.withColumn("copy", F.lit(True))
     joined = marked.join(small(copied, 2_000_000), ["id", "key"], "left").join(small(spans), "id", "left").select("id", "text", "copy", "spans")

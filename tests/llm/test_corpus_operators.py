@@ -98,6 +98,30 @@ def test_repeated_bytes(spark):
     assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == without_repeats(texts)
 
 
+def test_a_passage_of_most_documents(spark):
+    rnd = random.Random(6)
+    own = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
+    passage = own(140)
+    texts = [own(rnd.randint(0, 60)) + passage + own(rnd.randint(0, 60)) for _ in range(260)] + [own(90) for _ in range(20)] + [passage + "z" * 400 + passage]
+    docs = frame(spark, texts).repartition(3).select(F.col("doc_id").alias("id"), "text")
+    keys = {}
+    records = repeated_bytes.records(np.arange(len(texts)), [t.encode() for t in texts], None)
+    for r in repeated_bytes.first_of_context(records)[0]:
+        keys.setdefault(int(r["key"]), set()).add(int(r["id"]))
+    assert max(map(len, keys.values())) >= repeated_bytes.FREQUENT  # such keys take the way by windows
+    rows = repeated_bytes.remove_repeats(docs, "id").collect()
+    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == without_repeats(texts)
+
+
+def test_windows_of_frequent_keys(spark, monkeypatch):
+    w = np.array([(7, 3, 10), (7, 5, 0), (7, 3, 10), (7, 3, 40), (8, 5, 1)], repeated_bytes.WINDOW)
+    firsts, spans = repeated_bytes.first_of_window(w)
+    assert firsts.tolist() == [(7, 3, 10), (7, 3, 40), (8, 5, 1)] and spans.tolist() == [(5, 0, 50)]
+    # all keys of two or more documents take the way of frequent ones
+    monkeypatch.setattr(repeated_bytes, "FREQUENT", 2)
+    test_repeated_bytes(spark)
+
+
 def test_media_round_trip(spark):
     texts = ["é" * 700, "x", None, "", "abc " * 9000, "a" * 64, "a" * 65, "a" * 1024, "a" * 1025]
     for r in media_avi.store(frame(spark, texts)).collect():
