@@ -45,14 +45,18 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The draws of the mix, shard by shard in random order; a document cut at its source's target is cut after a word."""
-    drawn = source_mixing.mix(docs).filter("taken > 0")
-    per = written(drawn.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("shard", "place", "taken", "size")).alias("__draws")))  # at most 4 a document
-    rows = docs.join(small(per, 300_000), "doc_id").withColumn("__d", F.explode("__draws"))
+    """The draws of the mix, shard by shard in random order; a document cut at its source's target is cut after a word.
+
+    Draws belong to rows by a key that is written with them, so null and repeated ids lose none.
+    """
+    docs, plain = written(docs.withColumn("__row", F.monotonically_increasing_id())), docs
+    drawn = source_mixing.mix(docs, row="__row").filter("taken > 0")
+    per = written(drawn.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("shard", "place", "taken", "size")).alias("__draws")))  # at most 4 a row
+    rows = docs.join(small(per, 300_000), "__row").withColumn("__d", F.explode("__draws"))
     cut = F.array_join(F.slice(F.split("text", f"(?<={WORD_CLASS})(?={SPACE_CLASS})", -1), F.lit(1), F.col("__d.taken").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("__d.taken") < F.col("__d.size"), cut).otherwise(F.col("text")))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return _like(rows.repartition("__d.shard").sortWithinPartitions("__d.shard", "__d.place"), docs)
+    return _like(rows.repartition("__d.shard").sortWithinPartitions("__d.shard", "__d.place"), plain)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,7 @@ def shard_quotas(counts: DataFrame, shards: int, seed: int) -> DataFrame:
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS,
     repeats: int = MAX_REPEATS, shards: int = 16, blocks: int = 1 << 16, block_words: int = 1 << 14, seed: int = 17,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per document and draw: (id, size, source_size, target, taken, shard, place).
 
@@ -100,7 +101,7 @@ def mix(
     border, and cuts the last of these, so that a source's taken words equal its target rounded
     down. Documents that no draw takes have one row with taken 0 and no shard. Block draws are
     dealt to the shards by :func:`shard_quotas`; ``place`` orders a shard's documents at random,
-    for a local sort.
+    for a local sort. ``row`` names a column that tells all rows apart; it is added as ``row``.
 
     Equal inputs give equal results, whatever the partitions. Null text has size 0; null is a
     source of its own; repeated rows are separate documents; an empty table gives no rows. The
@@ -108,7 +109,9 @@ def mix(
     documents of the one block at each source's border.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_CLASS + "+")), F.lit(0)).cast("long")
-    base = written(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.alias("size")))
+    own = [F.col(row).alias("row")] if row else []
+    kept = ["row"] if row else []
+    base = written(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.alias("size"), *own))
     per = source_targets(base.groupBy("source").agg(F.sum("size").alias("size")), weights, repeats)
     whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("source_ix", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -139,14 +142,14 @@ def mix(
     dealt = dealt.withColumn("shard", F.get(F.filter("cuts", lambda c: c["high"] >= F.col("nth")), F.lit(0))["shard"]).drop("cuts", "nth")
     drawn = dealt.groupBy("source_ix", "block").agg(F.collect_list(F.struct("epoch", "shard", "take", "cut")).alias("draws"))  # at most repeats + 1 entries
 
-    rows = located.join(drawn, ["source_ix", "block"], "left").select("id", "size", "source_size", "target", "source_ix", "block", F.explode_outer("draws").alias("d"))
-    keep = ["id", "size", "source_size", "target", "epoch", "shard", "taken"]
+    rows = located.join(drawn, ["source_ix", "block"], "left").select(*kept, "id", "size", "source_size", "target", "source_ix", "block", F.explode_outer("draws").alias("d"))
+    keep = [*kept, "id", "size", "source_size", "target", "epoch", "shard", "taken"]
     d = F.col("d")
-    plain = rows.filter(d.isNull() | ~d["cut"]).select("id", "size", "source_size", "target", d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.when(d.isNull(), F.lit(0)).otherwise(F.col("size")).cast("long").alias("taken"))
-    inside = Window.partitionBy("source_ix", "block").orderBy(F.xxhash64(F.col("id"), F.lit(seed + 3)), "id", "size")
+    plain = rows.filter(d.isNull() | ~d["cut"]).select(*kept, "id", "size", "source_size", "target", d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.when(d.isNull(), F.lit(0)).otherwise(F.col("size")).cast("long").alias("taken"))
+    inside = Window.partitionBy("source_ix", "block").orderBy(F.xxhash64(F.col("id"), F.lit(seed + 3)), "id", "size", *kept)
     ahead = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     border = rows.filter(d["cut"]).withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), d["take"] - ahead)).cast("long"))
-    border = border.select("id", "size", "source_size", "target", d["epoch"].alias("epoch"), F.when(F.col("taken") > 0, d["shard"]).alias("shard"), "taken")
+    border = border.select(*kept, "id", "size", "source_size", "target", d["epoch"].alias("epoch"), F.when(F.col("taken") > 0, d["shard"]).alias("shard"), "taken")
     out = plain.select(keep).union(border.select(keep))
     return out.withColumn("place", F.xxhash64(F.col("id"), F.col("epoch"), F.lit(seed + 4)))
 

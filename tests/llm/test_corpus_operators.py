@@ -271,3 +271,14 @@ def test_pipeline(spark, corpus):
     packed = pipeline.pack_sequences(spark, docs, folder).collect()
     assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
     assert len({r.doc_id for r in packed}) == len({r.doc_id for r in kept["source_mixing"]})
+
+
+def test_mix_keeps_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(None if i % 3 == 0 else i // 4, f"t{i} " + "w " * (i % 7), None, "s", 1, "x", "r", "d", "w") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mixed = pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns  # one source, so its target is each row once
+    key = lambda r: (-1 if r[0] is None else r[0], r[1])
+    assert sorted(key(r) for r in mixed.select("doc_id", "text").collect()) == sorted(key(r) for r in rows)
