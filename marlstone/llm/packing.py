@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,21 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import bounded_batches, documents, written
+from marlstone.llm.ngram_join import mixed, slices
 
 END_ID = 2
 WINDOW = 4096
-#: Pieces, and their plain forms, whose ids a worker keeps; a store is emptied when it is full.
-KEPT = 400_000
+#: Words whose ids a worker keeps, the longest in bytes, and their ids; about 40 MB at most.
+KEPT, LONGEST, KEPT_IDS = 1 << 20, 64, 1 << 23
+#: Bytes of text that are looked up at once.
+SLICE = 1 << 19
+_GAP = re.compile(rb"[ \n]")
 
 
 class WordTokens:
     """Token ids of texts under a vocabulary that drops white space, lowers case and joins no words.
 
-    Such a tokenizer gives a text the ids of its space-separated pieces one after the other, so
-    each different piece is looked up once and its ids are kept as little-endian 16-bit numbers.
-    A new piece of ASCII is encoded in its plain form, in lower case; one that ends in a letter
-    or digit and a full stop or comma is that of the rest and of the mark, which the tokenizer
-    splits off as well.
+    Such a tokenizer gives a text the ids of its space-separated words one after the other, so
+    each different word is encoded once. Words of ASCII are in lower case, and a full stop or
+    comma after a last letter or digit is a word of its own, as it is for the tokenizer. Words
+    are known by 64-bit hashes in sorted arrays; a full store is left with the words in use.
     """
 
     def __init__(self, path: str) -> None:
@@ -37,59 +41,98 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        last = sorted(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[last] = True
-        self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self.encoded([".", ","]), strict=True))
-
-    def encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. Words of letters alone are encoded as one text, which their last ids cut."""
-        out: dict[str, bytes] = {}
-        words = [p for p in pieces if p.isalpha() and len(p.lower()) == len(p)]
-        for k in range(0, len(words), 4000):
-            own = words[k : k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u2")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(own):
-                data, cuts = ids.tobytes(), (2 * np.r_[0, ends]).tolist()
-                out.update(zip(own, (data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-        rest = [p for p in pieces if p not in out]
-        out.update((p, np.array(x.ids, "<u2").tobytes()) for p, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return [out[p] for p in pieces]
-
-    def learn(self, pieces: set[str]) -> None:
-        forms = {}
-        for p in pieces:
-            q = p.lower() if p.isascii() and "<|" not in p else p
-            forms[p] = (q[:-1], q[-1]) if len(q) > 1 and q[-1] in ".," and q[-2].isalnum() and len(q[-2].lower()) == 1 else (q, "")
-        plain = self.plain
-        new = list({q for q, _ in forms.values() if q not in plain})
-        if len(plain) + len(new) > KEPT:
-            plain.clear()
-            new = list({q for q, _ in forms.values()})
-        plain.update(zip(new, self.encoded(new), strict=True))
-        for p, (q, mark) in forms.items():
-            self.known[p] = plain[q] + self.marks[mark] if mark else plain[q]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the new pieces of all of them are learned at once."""
-        pieces: list[str] = []
-        edges = [0]
-        for t in texts:
-            pieces += t.replace("\n", " ").split(" ")
-            edges.append(len(pieces))
-        found = list(map(self.known.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            new = {pieces[i] for i in missing}
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-            self.learn(new)
-            for i in missing:
-                found[i] = self.known[pieces[i]]
-        return [b"".join(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.hashes, self.first, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = np.zeros(0, "<u2")
+
+    def encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Words of lower-case ASCII letters need no normaliser and no splitting."""
+        out: list = [None] * len(words)
+        rest = []
+        for k, w in enumerate(words):
+            if w.isascii() and w.isalpha() and w.islower():
+                out[k] = [t.id for t in self.tokenizer.model.tokenize(w)]
+            else:
+                rest.append(k)
+        for k, x in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
+
+    def found(self, hashes: np.ndarray, words: Callable[[np.ndarray], list[str]], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, n, ids): where the ids of different words, by sorted hash, start in ``ids`` and how many they are."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        hit = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        first, n = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        first[hit], n[hit] = self.first[at[hit]], self.n[at[hit]]
+        new = np.flatnonzero(~hit)
+        new = np.r_[new[size[new] <= LONGEST], new[size[new] > LONGEST]]
+        own = self.encoded(words(new))
+        n[new] = [len(x) for x in own]
+        first[new] = len(self.known) + np.cumsum(n[new]) - n[new]
+        ids = np.concatenate([self.known, np.array([i for x in own for i in x], "<u2")])
+        kept = size <= LONGEST
+        if len(self.hashes) + len(new) > KEPT or len(ids) > KEPT_IDS:
+            own = np.flatnonzero(kept)
+            self.hashes, self.n = hashes[own], n[own]
+            self.first = np.cumsum(self.n) - self.n
+            self.known = ids[np.repeat(first[own] - self.first, self.n) + np.arange(int(self.n.sum()))]
+        else:
+            own = new[: int(kept[new].sum())]
+            own = own[np.argsort(own)]
+            places = np.searchsorted(self.hashes, hashes[own])
+            self.hashes, self.first, self.n = (np.insert(a, places, b[own]) for a, b in ((self.hashes, hashes), (self.first, first), (self.n, n)))
+            self.known = ids[: len(self.known) + int(n[own].sum())]
+        return first, n, ids
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit numbers."""
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        space = (data == 32) | (data == 10)
+        start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        end = np.flatnonzero(space & ~np.r_[True, space[:-1]])
+        if not len(start):
+            return [b""] * len(texts)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        # capitals are lowered in words of ASCII, unless a special token may be near
+        raw = np.r_[0, np.cumsum(data >= 128, dtype=np.int64)]
+        raw = raw[end] > raw[start]
+        special = np.array([b"<|" in t for t in texts])
+        if special.any():
+            raw |= special[np.searchsorted(begin, start, "right") - 1]
+        plain = np.repeat(~raw, np.diff(np.r_[start, len(data)]))
+        lower = data.copy()
+        lower[start[0] :] += (((data[start[0] :] >= 65) & (data[start[0] :] <= 90)) & plain).view(np.uint8) << 5
+        last, before, far = data[end - 1], data[np.maximum(end - 2, 0)], data[np.maximum(end - 3, 0)]
+        ascii_word = (((before | 32) >= 97) & ((before | 32) <= 122)) | ((before >= 48) & (before <= 57))
+        latin = (far == 0xC3) & (before >= 128) & (before != 0x97) & (before != 0xB7) & (end - start > 2)
+        mark = ((last == 46) | (last == 44)) & (end - start > 1) & (ascii_word | latin)
+        at = np.arange(len(start)) + np.cumsum(mark) - mark
+        s, e = np.zeros(len(start) + int(mark.sum()), np.int64), np.zeros(len(start) + int(mark.sum()), np.int64)
+        s[at], e[at] = start, end - mark
+        s[at[mark] + 1], e[at[mark] + 1] = end[mark] - 1, end[mark]
+        place = np.arange(s[0], len(data)) - np.repeat(s, np.diff(np.r_[s, len(data)]))
+        value = (lower[s[0] :].astype(np.uint64) + np.uint64(1)) * mixed(place.astype(np.uint64) + np.uint64(1))
+        value[space[s[0] :]] = 0
+        hashes = mixed(np.add.reduceat(value, s - s[0]) + (e - s).astype(np.uint64))
+        different, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        text = lower.tobytes()
+        first, n, ids = self.found(different, lambda k: [text[a:b].decode() for a, b in zip(s[one[k]].tolist(), e[one[k]].tolist(), strict=True)], (e - s)[one])
+        n, first = n[which], first[which]
+        upto = np.r_[0, np.cumsum(n)]
+        out = ids[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        edges = (2 * upto[np.searchsorted(s, begin)]).tolist()
+        return [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def of_text(self, text: bytes) -> bytes:
+        """Ids of one long text, read in parts that end between words."""
+        out, low = [], 0
+        while low < len(text):
+            high = min(len(text), low + SLICE)
+            if high < len(text):
+                gap = _GAP.search(text, high)
+                high = gap.start() if gap else len(text)
+            out += self.ids([text[low:high]])
+            low = high
+        return b"".join(out)
 
 
 #: One per vocabulary and Python worker, which serves many tasks.
@@ -117,22 +160,13 @@ def tokenized(docs: DataFrame, id_col: str, text: str, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, at, part = word_tokens(path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u2").tobytes()
-        for batch in batches:
-            texts: list[str] = []
-            low = held = 0
-            for k, t in enumerate(batch.column(1)):
-                texts.append(t.as_py() or "")
-                held += len(texts[-1])
-                if held > 2 << 20 or k == batch.num_rows - 1:
-                    out = [x + end for x in tokens.ids(texts)]
-                    n = np.array([len(x) // 2 for x in out], np.int64)
-                    first = at + np.cumsum(n) - n
-                    at += int(n.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(low, len(out)), pa.array(np.full(len(out), part, np.int64)), pa.array(first), pa.array(n), pa.array(out, pa.binary())],
-                        ["id", "part", "first", "n", "ids"],
-                    )
-                    texts, low, held = [], k + 1, 0
+        for ids, texts in slices(batches, SLICE):
+            own = tokens.ids(texts) if sum(map(len, texts)) <= 2 * SLICE else [tokens.of_text(t) for t in texts]
+            out = [x + end for x in own]
+            n = np.array([len(x) // 2 for x in out], np.int64)
+            first = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(out), part, np.int64)), pa.array(first), pa.array(n), pa.array(out, pa.binary())], ["id", "part", "first", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, part long, first long, n long, ids binary")
