@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, let, small, written
+from marlstone.llm.common import documents, fresh, let, replaced, small, written
 from marlstone.llm.spans import listed, matches, no_spans, of_kind, placed
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds without a fixed pattern of the contract; only the classifier adds their spans.
+MORE_KINDS = ("iban", "key", "name")
 # Each pattern starts where a run starts or where the last match ended, so no run is scanned twice.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -24,7 +26,24 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NOT_JOINED = r"[^0-9]{2,}|[^0-9\x20-]"
 HIDDEN_EMAIL = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]{1,63}){1,4}"
 
+# Looser forms: addresses with marked dots, of eight groups, or with other numbers of parts; accounts; credentials; names.
+LOOSE_IP = (
+    r"(?=[0-9]{1,3}\x20?[\[(])(?<![0-9.])[0-9]{1,3}(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]{1,3}){3}(?![0-9])|(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+    r"|(?=[0-9]{1,4}\.[0-9])(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){2,}+(?![0-9])"
+)
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+KEY_NAMES, MORE_KEY_NAMES = "password|passwd|secret|token|api_?key", "passphrase|passcode|pwd|pin|access_?key|auth"
+KEY = rf"""(?=[pPsStTaA][aAsSwWiIeEoOpPcCuU])(?i:{KEY_NAMES}|{MORE_KEY_NAMES})["']?\x20{{0,3}}[:=]\x20{{0,3}}["']?[A-Za-z0-9+/_.=-]{{4,}}+["']?"""
+
 # Gazetteers and context words of the labelers.
+TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sra?|Señora?)\.?"
+GIVEN_NAMES = (
+    "Anna|Antonio|Barbara|Carlos|Carmen|Charles|Christine|David|Elizabeth|Emma|Francois|Françoise|Hans|Heinz|Isabel|James|Jean|Jennifer|John|José|Juan|Julia|Karl|Klaus|"
+    "Laura|Linda|Louis|Manuel|Maria|María|Marie|Mary|Michael|Michel|Monika|Nathalie|Patricia|Paul|Peter|Petra|Philippe|Pierre|Robert|Sabine|Sarah|Sophie|Susan|Thomas|Ursula|William|Wolfgang"
+)
+WORD_OF_NAME = r"\p{Lu}[\p{L}'-]+"
+NAME = rf"(?=\p{{Lu}}\p{{L}}+[.\x20])(?<!\p{{L}})(?:{TITLES}\x20{WORD_OF_NAME}|(?:{GIVEN_NAMES})\x20{WORD_OF_NAME})(?:\x20{WORD_OF_NAME}){{0,2}}"
+IBAN_COUNTRIES = "AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LI|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK"
 DOMAIN_ENDS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|nl"
 CALLING_CODES = "1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 CARD_STARTS = "4|5[1-5]|2[2-7]|3[47]|6(?:011|5)|35|30[0-5]|3[68]"
@@ -33,6 +52,9 @@ CONTEXT = {
     "ip": r"\bip\b|addr|host|server|serveur|servidor",
     "card": r"card|karte|carte|tarjeta|visa|master|credit|kredit",
     "phone": r"phone|tel|call|mobile|handy|fax|ruf|móvil|appel|llam",
+    "iban": r"iban|bank|account|konto|compte|cuenta",
+    "key": r"login|user|admin|account|config|export|server|credential",
+    "name": r"name|dear|liebe|cher|estimad|regards|sincerely|gruß|contact|author|signed",
 }
 #: Characters left of a candidate that the context labeler reads.
 LEFT = 24
@@ -80,6 +102,20 @@ def is_card(s: Column) -> Column:
     return F.length(d).between(12, 19) & luhn(d)
 
 
+def is_iban(s: Column) -> Column:
+    """Whether the account number, moved by four places and with letters as 10 to 35, leaves 1 modulo 97."""
+
+    def step(a: Column, c: Column) -> Column:
+        letter = c.rlike("[A-Z]")
+        return (a * F.when(letter, 100).otherwise(10) + F.when(letter, F.ascii(c) - 55).otherwise(F.ascii(c) - 48)) % 97
+
+    def body(x: Column) -> Column:
+        signs = F.filter(F.split(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4)), ""), lambda c: c != "")
+        return F.aggregate(signs, F.lit(0), step) == 1
+
+    return let(F.regexp_replace(s, " ", ""), body)
+
+
 def base_matches(text: Column) -> dict[str, Column]:
     """The spans of the fixed patterns by kind, leftmost and non-overlapping within a kind."""
     phone = F.filter(matches(text, PHONE, "+"), lambda x: F.length(_digits(x["s"])).between(9, 15))
@@ -99,15 +135,20 @@ def base_spans(text: Column) -> Column:
 def candidates(docs: DataFrame, text: str) -> DataFrame:
     """(key, kind, start, end, base, votes, features): base spans and looser ones, one row each.
 
-    ``key`` is the MD5 of the text. Votes are those of the labelers in order: fixed pattern,
-    gazetteer, context words on the left, clean borders, grouping.
+    ``key`` is the MD5 of the text. Votes are those of the labelers in order: pattern (that of
+    the contract, or the strict form or check sum of a looser one), gazetteer, context words on
+    the left, clean borders, grouping.
     """
     t = F.col("t")
     base = base_matches(t)
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     loose_digits = F.filter(digit_chains(t, 9), lambda x: F.length(_digits(x["s"])) <= 19)
     loose = {
-        "email": matches(t, HIDDEN_EMAIL),
+        "email": F.when(t.rlike(r"[\[(](?:at|AT)[\])]"), matches(t, HIDDEN_EMAIL)).otherwise(no_spans()),
+        "ip": matches(t, LOOSE_IP),
+        "iban": matches(t, IBAN),
+        "key": F.when(t.rlike("[:=]"), matches(t, KEY)).otherwise(no_spans()),
+        "name": matches(t, NAME),
         "card": F.filter(loose_digits, lambda x: F.length(_digits(x["s"])) >= 12),
         "phone": F.filter(loose_digits, lambda x: F.length(_digits(x["s"])).between(9, 15)),
     }
@@ -116,10 +157,11 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), F.lit(kind).alias("kind"), F.lit(valid).alias("base")))
 
     found = F.concat(*[tagged(m, k, True) for k, m in base.items()], *[tagged(m, k, False) for k, m in loose.items()])
-    rows = rows.select("t", found.alias("found")).filter(F.size("found") > 0)
-    taken = F.filter("found", lambda x: x["base"])
-    clear = F.filter("found", lambda x: x["base"] | ~F.exists(taken, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    rows = rows.select(F.md5("t").alias("key"), "t", F.explode(clear).alias("x")).select("key", "t", "x.*")
+
+    def clear(found: Column) -> Column:
+        return let(F.filter(found, lambda x: x["base"]), lambda taken: F.filter(found, lambda x: x["base"] | ~F.exists(taken, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+
+    rows = rows.select("t", F.explode(let(found, clear)).alias("x")).select(F.md5("t").alias("key"), "t", "x.*")
     left = F.lower(F.substring(F.col("t"), F.greatest(F.col("start") - LEFT + 1, F.lit(1)), F.least(F.col("start"), F.lit(LEFT))))
     before, after = F.substring(F.col("t"), F.col("start"), F.when(F.col("start") > 0, 1).otherwise(0)), F.substring(F.col("t"), F.col("end") + 1, F.lit(1))
     rows = rows.select("key", "kind", "start", "end", "base", "s", left.alias("left"), before.alias("before"), after.alias("after"))
@@ -131,14 +173,20 @@ def candidates(docs: DataFrame, text: str) -> DataFrame:
             out = F.when(kind == k, test.cast("int")).otherwise(out)
         return out
 
+    pattern = by_kind({
+        "ip": F.col("s").contains(":") | F.regexp_replace("s", r"\x20?[\[(](?:\.|dot)[\])]\x20?", ".").rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), "iban": is_iban(F.col("s")),
+        "key": F.col("s").rlike(r"[:=].{0,4}(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{12,}"), "name": F.col("s").rlike(rf"^{TITLES}\x20"),
+    })
     gazetteer = by_kind({
         "email": F.lower("s").rlike(rf"(?:\.|dot[\])])\x20?(?:{DOMAIN_ENDS})$"), "ip": ~F.col("s").rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])\."),
         "card": d.rlike(f"^(?:{CARD_STARTS})"), "phone": F.col("s").rlike(rf"^\+(?:{CALLING_CODES})"),
+        "iban": F.col("s").rlike(f"^(?:{IBAN_COUNTRIES})"), "key": F.col("s").rlike(f"^(?i:{KEY_NAMES})"), "name": F.col("s").rlike(rf"(?:^|\x20)(?:{GIVEN_NAMES})(?:\x20|$)"),
     })
     context = by_kind({k: F.col("left").rlike(p) for k, p in CONTEXT.items()})
     clean = (~F.col("before").rlike("[A-Za-z0-9]") & ~F.col("after").rlike("[A-Za-z0-9]")).cast("int")
-    grouped = by_kind({"email": F.col("s").contains("."), "ip": F.lit(True), "card": F.col("s").rlike("[ -]"), "phone": F.col("s").rlike(r"[ ().-]")})
-    votes = F.array(F.col("base").cast("int"), gazetteer, context, clean, grouped)
+    grouped = by_kind({"email": F.col("s").contains("."), "ip": F.lit(True), "card": F.col("s").rlike("[ -]"), "phone": F.col("s").rlike(r"[ ().-]"),
+                       "iban": F.length("s") >= 15, "key": F.col("s").rlike("[\"']"), "name": F.size(F.split("s", " ")) >= 3})
+    votes = F.array(F.greatest(F.col("base").cast("int"), pattern), gazetteer, context, clean, grouped)
     features = F.array(
         F.concat(F.lit("length "), F.least(F.floor(F.length("s") / 4), F.lit(10)).cast("string")), F.concat(F.lit("digits "), F.least(F.length(d), F.lit(20)).cast("string")),
         F.concat(F.lit("before "), F.when(F.col("before") == "", "edge").when(F.col("before").rlike(r"\s"), "space").when(F.col("before").rlike(r"[A-Za-z0-9]"), "word").otherwise("mark")),
@@ -199,10 +247,10 @@ def added_spans(docs: DataFrame, text: str) -> DataFrame:
     weight = F.log((F.col("yes") + 0.5) / (F.col("y") + 1)) - F.log((F.col("no") + 0.5) / (F.col("z") + 1))
     table = per.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("f", weight))).alias("w"))
     prior = prior.select("kind", F.log((F.col("yes") + 1) / (F.col("no") + 1)).alias("bias"))
-    model = F.broadcast(table.join(F.broadcast(prior), "kind"))  # four rows
+    model = F.broadcast(table.join(F.broadcast(prior), "kind"))  # a row per kind
     odds = F.aggregate("features", F.col("bias"), lambda a, f: a + F.coalesce(F.element_at("w", f), F.lit(0.0)))
     sure = found.filter("NOT base").join(model, "kind").withColumn("p", 1 / (1 + F.exp(-odds))).filter(F.col("p") >= SURE)
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS + MORE_KINDS]), F.col("kind")).cast("int") - 1
     return sure.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("more"))
 
 
@@ -212,14 +260,15 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     Both are sorted arrays of (start, rank, kind, end) in code points. Null text is an empty
     text. Texts are scanned twice and never shuffled unless more than
     :data:`~marlstone.llm.common.BROADCAST_ROWS` different texts have added spans; equal texts get
-    equal spans; columns of ``docs`` stay as they are.
+    equal spans. Columns of ``docs`` stay as they are, but one that is named as an added one
+    gives way to it.
     """
-    more = small(written(added_spans(docs, text)))
-    t = F.coalesce(F.col(text), F.lit(""))
-    based = docs.withColumns({"__key": F.md5(t), "base_spans": base_spans(t)})
-    joined = based.join(more.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    t, key, more = F.coalesce(F.col(text), F.lit("")), fresh(docs, "key_of_text"), fresh(docs, "more")
+    added = small(written(added_spans(docs, text))).select(F.col("key").alias(key), F.col("more").alias(more))
+    kept = replaced(docs, ["base_spans", "spans"])
+    joined = docs.select(*kept, F.md5(t).alias(key), base_spans(t).alias("base_spans")).join(added, key, "left")
     kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
-    return joined.withColumn("spans", F.sort_array(F.concat("base_spans", F.coalesce("more", F.array().cast(kind))))).drop("more")
+    return joined.select(*kept, "base_spans", F.sort_array(F.concat("base_spans", F.coalesce(more, F.array().cast(kind)))).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -237,7 +286,9 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The personal data of all documents, as counts, a digest of the base spans, and all spans."""
+    """The personal data of all documents, as counts, a digest of the base spans, and all spans with their number."""
     d = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     n = [F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return d.select("doc_id", *n, F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return d.select(
+        "doc_id", *n, F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
+    )

@@ -210,6 +210,42 @@ def test_later_models_learn_from_out_of_fold_probabilities():
     assert models[0]["earlier"] == [] and models[1]["earlier"][0] > 0
 
 
+def test_the_last_link_decides(spark):
+    """The verdict comes through the chain: other weights of an earlier link change it, and the scores are those of a plain loop."""
+    texts, labels = toxic_corpus(300)
+    docs, table = frame(spark, [*texts, None, ""]), spark.createDataFrame([*labels, (0, None, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    names = list(toxicity.label_categories())
+    assert names[-1] == "toxic"
+    chain = toxicity.train(toxicity.labelled_sample(docs, table, "doc_id", "text", toxicity.label_categories()), names)
+    assert len(chain["models"][-1]["earlier"]) == len(names) - 1 and any(abs(x) > 0.1 for x in chain["models"][-1]["earlier"])
+    rows = {r.doc_id: r for r in toxicity.scored(docs.select("doc_id", "text"), chain, names).collect()}
+    for i, t in enumerate(texts):
+        own, before = toxicity.features(t), []
+        for k, m in enumerate(chain["models"]):
+            z = m["bias"] + sum(w for f, w in zip(chain["words"], m["words"], strict=True) if f in own) + sum(a * b for a, b in zip(m["earlier"], before, strict=True))
+            before.append(1 / (1 + np.exp(-z)))
+            assert abs(rows[i][f"p_{names[k]}"] - before[-1]) < 1e-9
+    for m in chain["models"][1:3]:
+        m |= {"bias": 30.0, "words": [0.0] * len(chain["words"])}
+    other = {r.doc_id: r for r in toxicity.scored(docs.select("doc_id", "text"), chain, names).collect()}
+    assert any((rows[i].p_toxic >= 0.5) != (other[i].p_toxic >= 0.5) for i in range(300))
+    assert rows[300].p_toxic == rows[301].p_toxic == 0
+
+
+def test_held_out_probabilities_are_those_of_models_without_the_document():
+    rnd = np.random.default_rng(6)
+    y, fold = np.c_[rnd.random(60) < 0.5, rnd.random(60) < 0.5].astype(int), np.arange(60) % toxicity.FOLDS
+    found = [np.flatnonzero(rnd.random(5) < 0.4) for _ in y]
+    before = np.zeros((60, 1))
+    for f in range(toxicity.FOLDS):
+        own = [found[i] for i in np.flatnonzero(fold != f)]
+        model = toxicity.Linear.fit(np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own), np.zeros((len(own), 0)), y[fold != f, 0].astype(float), 5)
+        before[fold == f, 0] = [1 / (1 + np.exp(-(model.weights[found[i]].sum() + model.bias))) for i in np.flatnonzero(fold == f)]
+    last = toxicity.Linear.fit(np.repeat(np.arange(60), [len(x) for x in found]), np.concatenate(found), before, y[:, 1].astype(float), 5)
+    models = toxicity.fit_chain(found, 5, y, fold)
+    assert np.allclose(models[1]["earlier"], last.extra) and np.allclose(models[1]["words"], last.weights)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
