@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, documents
+from marlstone.llm.common import bounded_batches, documents, replaced, written
 
 #: Documents of the labelled sample that the chain is fitted on, at most (about).
 SAMPLE = 20_000
@@ -94,18 +94,22 @@ def fit_chain(found: list[np.ndarray], width: int, labels: np.ndarray, fold: np.
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, categories: dict[str, Column], most: int = SAMPLE, seed: int = 5) -> DataFrame:
-    """About ``most`` labelled documents, by the hash of their id, with their categories."""
+    """About ``most`` labelled documents, by the hash of their id, with their categories; written once.
+
+    Of labels that repeat an id, one that is true decides.
+    """
     rows = labels.count()
     share = min(1.0, most / max(rows, 1))
     chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)) < int(share * 1_000_003) + 1
-    picked = labels.filter(chosen).select(F.col(id_col).alias("id"), *[F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in categories.items()]).dropDuplicates(["id"])
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")  # at most about `most` rows
+    picked = labels.filter(chosen).groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in categories.items()])
+    return written(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id"))  # at most about `most` rows
 
 
 def informative(sample: DataFrame, categories: list[str], least: int = LEAST, score: float = 20.0, most: int = 50_000) -> list[str]:
     """Features of at least ``least`` sampled documents whose presence depends on a category.
 
     The test is the chi-square statistic of the two-by-two table, which rare random words fail.
+    The ``most`` features of the highest statistic are kept, which bounds the model.
     Tasks count their own documents' features, so a common word is one row a task.
     """
 
@@ -197,20 +201,23 @@ def scored(docs: DataFrame, chain: dict, categories: list[str], text: str = "tex
 
 
 def label_categories() -> dict[str, Column]:
-    """The chain's categories from the labels: toxic at all, then abuse in good and in poor text."""
+    """The chain's categories from the labels: poor text, abuse in good and in poor text, and last abuse at all."""
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1
-    return {"toxic": toxic, "toxic_prose": toxic & good, "toxic_junk": toxic & ~good}
+    return {"poor": ~good, "toxic_prose": toxic & good, "toxic_junk": toxic & ~good, "toxic": toxic}
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5, most: int = SAMPLE, prefix: str = "") -> DataFrame:
-    """``docs`` with the chain's probabilities and ``toxic``: its first category at ``threshold`` or more.
+    """``docs`` with the chain's probabilities and ``toxic``: its last category at ``threshold`` or more.
 
-    Without labelled documents nothing is toxic. Repeated rows are scored one by one. Columns of
-    ``docs`` are kept; the names of the added ones start with ``prefix`` and must be new.
+    The last link reads the probabilities of all links before it, which were out-of-fold ones
+    when it was fitted. Without labelled documents nothing is toxic. Repeated rows are scored one
+    by one. The names of added columns start with ``prefix``; they replace columns of these names.
     """
     categories = label_categories()
     chain = train(labelled_sample(docs, labels, id_col, text, categories, most), list(categories))
-    return scored(docs, chain, list(categories), text, f"{prefix}p_").withColumn(f"{prefix}toxic", F.col(f"{prefix}p_toxic") >= threshold)
+    names = [f"{prefix}p_{c}" for c in categories]
+    kept = docs.select(replaced(docs, [*names, f"{prefix}toxic"]))
+    return scored(kept, chain, list(categories), text, f"{prefix}p_").withColumn(f"{prefix}toxic", F.col(names[-1]) >= threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
