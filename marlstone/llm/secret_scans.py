@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, let
+from marlstone.llm.common import documents, fresh, let, replaced
 from marlstone.llm.spans import listed, matches, of_kind
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,14 +88,15 @@ def find_secrets(docs: DataFrame, text: str = "text", width: int = 20) -> DataFr
 
     Both are arrays of (start, rank, kind, end) by start and then kind; positions count code
     points. Null text is an empty text. Nothing is shuffled; repeated rows are scanned one by
-    one; a text costs one scan a pattern, and only its candidate strings cost more.
+    one; a text costs one scan a pattern, and only its candidate strings cost more. Columns of
+    ``docs`` stay, but one that is named as an added one gives way to it.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t, more = F.coalesce(F.col(text), F.lit("")), fresh(docs, "more")
     assign = F.filter(matches(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 1)) >= 12)
-    base = F.concat(of_kind(assign, "assign", 0), of_kind(matches(t, ACCESS), "access", 1), of_kind(matches(t, HEX), "hex", 2))
-    return docs.withColumns({"base_spans": F.sort_array(base), "__more": of_kind(entropy_spans(t, width), "entropy", 3)}).withColumn(
-        "spans", F.sort_array(F.concat("base_spans", "__more"))
-    ).drop("__more")
+    base = F.sort_array(F.concat(of_kind(assign, "assign", 0), of_kind(matches(t, ACCESS), "access", 1), of_kind(matches(t, HEX), "hex", 2)))
+    kept = replaced(docs, ["base_spans", "spans"])
+    found = docs.select(*kept, base.alias("base_spans"), of_kind(entropy_spans(t, width), "entropy", 3).alias(more))
+    return found.select(*kept, "base_spans", F.sort_array(F.concat("base_spans", more)).alias("spans"))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
