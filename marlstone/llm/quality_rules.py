@@ -74,12 +74,15 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5) -> DataFrame:
-    """One row per host (null is a host): n, shrunk rate per rule, host_ok.
+def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5, watch_rate: float = 0.05) -> DataFrame:
+    """One row per host (null is a host): n, shrunk rate per rule, host_ok, and for each rule whether it is watched.
 
     The prior of each rule is a beta distribution fitted by moments to the hosts' failure
-    rates; a host's rate is its posterior mean, so that a host with few documents stays near
-    the prior. The prior's strength is kept between 1 and a million documents.
+    rates, less the variance that sampling alone gives these rates; a host's rate is its
+    posterior mean, so that a host with few documents stays near the prior, and hosts that
+    differ no more than by chance get one rate. The prior's strength is kept between 1 and a
+    million documents. A host with a rate above ``max_rate`` is bad; one with a rate of
+    ``watch_rate`` or more is watched in that rule.
     """
     fails = rule_failures()
     hosts = measured.groupBy(F.col(host).alias("host")).agg(
@@ -89,32 +92,39 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5) -> Data
         "host", "n", "x.rule", "x.fails"
     )
     rate = F.col("fails") / F.col("n")
-    prior = long.groupBy("rule").agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1e6))
+    prior = long.groupBy("rule").agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("all"), F.avg(1 / F.col("n")).alias("r"))
+    v = F.col("all") - F.col("m") * (1 - F.col("m")) * F.col("r")
+    strength = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / v - 1))).otherwise(F.lit(1e6))
     prior = prior.select("rule", "m", strength.alias("k"))
     shrunk = long.join(F.broadcast(prior), "rule").withColumn("rate", (F.col("fails") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k")))
+    own = {r: F.max(F.when(F.col("rule") == r, F.col("rate"))) for r in fails}
     return shrunk.groupBy("host").agg(
         F.max("n").alias("host_n"),
-        *[F.max(F.when(F.col("rule") == r, F.col("rate"))).alias(f"rate_{r}") for r in fails],
+        *[x.alias(f"rate_{r}") for r, x in own.items()],
+        *[(x >= watch_rate).alias(f"watch_{r}") for r, x in own.items()],
         (F.max("rate") <= max_rate).alias("host_ok"),
     )
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """Measures, base verdict and host verdict of every document.
+def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5, watch_rate: float = 0.05) -> DataFrame:
+    """Measures, base verdict and the verdict that a document gets through its host.
 
+    All documents of a bad host go, and so do those that fail a rule in which their host is
+    watched; where a rule fails rarely, a document that fails it may be sound and stays.
     The measures go to a scratch table first: the texts are read once, the hosts' sums come
     from partial aggregates, and the verdicts return by a broadcast join if the hosts are few
     (:data:`~marlstone.llm.common.BROADCAST_ROWS`), else by a shuffle join that splits skewed hosts.
     An empty table gives no rows; repeated rows are judged one by one.
     """
     measured = written(text_measures(docs.select(F.col(id_col), F.col(text), F.col(host).alias("__host")), text))
-    verdicts = host_verdicts(measured, "__host", max_rate)
-    joined = measured.join(small(verdicts), F.col("__host").eqNullSafe(F.col("host")), "left")
-    failed = rule_failures()["base"]
+    verdicts = host_verdicts(measured, "__host", max_rate, watch_rate)
+    joined = measured.join(small(written(verdicts)), F.col("__host").eqNullSafe(F.col("host")), "left")
+    fails = rule_failures()
+    seen = [F.col(f"watch_{r}") & f for r, f in fails.items()]
+    watched = seen[0] | seen[1] | seen[2]
     return joined.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-        failed.alias("base_failed"), (~failed & F.coalesce(F.col("host_ok"), F.lit(True))).alias("kept"),
+        fails["base"].alias("base_failed"), (~fails["base"] & F.col("host_ok") & ~watched).alias("kept"),
     )
 
 
@@ -149,12 +159,16 @@ WITH w AS (
   FROM (SELECT source, 'base' AS rule, base AS bad FROM f UNION ALL SELECT source, 'symbols', symbols FROM f
         UNION ALL SELECT source, 'dup_lines', dup_lines FROM f) GROUP BY source, rule
 ), p AS (
-  SELECT rule, avg(fails / n) AS mu, var_pop(fails / n) AS v FROM h GROUP BY rule
+  SELECT rule, avg(fails / n) AS mu, var_pop(fails / n) AS a, avg(1 / n) AS r FROM h GROUP BY rule
 ), k AS (
-  SELECT rule, mu, CASE WHEN v > 0 THEN greatest(1.0, least(1e6, mu * (1 - mu) / v - 1)) ELSE 1e6 END AS k FROM p
+  SELECT rule, mu, CASE WHEN a - mu * (1 - mu) * r > 0 THEN greatest(1.0, least(1e6, mu * (1 - mu) / (a - mu * (1 - mu) * r) - 1)) ELSE 1e6 END AS k FROM p
+), sh AS (
+  SELECT source, rule, (fails + mu * k) / (n + k) AS rate FROM h JOIN k USING (rule)
 ), hv AS (
-  SELECT source, max((fails + mu * k) / (n + k)) <= 0.5 AS ok FROM h JOIN k USING (rule) GROUP BY source
+  SELECT source, max(rate) <= 0.5 AS ok, max(rate) FILTER (rule = 'symbols') >= 0.05 AS watch_symbols, max(rate) FILTER (rule = 'dup_lines') >= 0.05 AS watch_dup_lines
+  FROM sh GROUP BY source
 )
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed, NOT base AND ok AS kept
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
+       NOT base AND ok AND NOT (watch_symbols AND symbols) AND NOT (watch_dup_lines AND dup_lines) AS kept
 FROM f JOIN hv ON f.source IS NOT DISTINCT FROM hv.source
 """
