@@ -52,11 +52,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, plain = written(docs.withColumn("__row", F.monotonically_increasing_id())), docs
     drawn = source_mixing.mix(docs, row="__row").filter("taken > 0")
     per = written(drawn.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("shard", "place", "taken", "size")).alias("__draws")))  # at most 4 a row
+    shards = (per.agg(F.max(F.array_max("__draws.shard"))).first()[0] or 0) + 1
     rows = docs.join(small(per, 300_000), "__row").withColumn("__d", F.explode("__draws"))
     cut = F.array_join(F.slice(F.split("text", f"(?<={WORD_CLASS})(?={SPACE_CLASS})", -1), F.lit(1), F.col("__d.taken").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("__d.taken") < F.col("__d.size"), cut).otherwise(F.col("text")))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return _like(rows.repartition("__d.shard").sortWithinPartitions("__d.shard", "__d.place"), plain)
+    return _like(rows.repartition(shards, "__d.shard").sortWithinPartitions("__d.shard", "__d.place"), plain)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,15 @@ def test_a_bad_host_takes_its_good_documents_along(spark):
     assert not rows[199].base_failed
 
 
+def test_a_watched_rule_takes_the_documents_that_fail_it(spark):
+    good, marked = "one two three four five six seven eight nine ten eleven", "one two# three# four five six seven eight nine ten eleven"
+    texts = ([good] * 80 + [marked] * 20) * 3 + ([good] * 99 + [marked]) * 3
+    hosts = [f"often{i // 100}" for i in range(300)] + [f"rarely{i // 100}" for i in range(300)]
+    rows = {r.doc_id: r for r in quality_rules.judge(frame(spark, texts, hosts)).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert [rows[i].kept for i in range(600)] == [texts[i] == good for i in range(300)] + [True] * 300
+
+
 def water_level(sizes, weights, cap=3):
     full, targets = set(), {}
     total = sum(sizes.values())
