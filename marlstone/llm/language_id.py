@@ -18,8 +18,8 @@ SAMPLE_BYTES = 6_000_000
 #: Bytes of context. Contexts seen fewer times than LEAST fall back to shorter ones.
 ORDER = 3
 LEAST = 3
-#: Different bytes that contexts tell apart; rarer ones share one symbol.
-SYMBOLS = 64
+#: Bytes of a long text that are scored at once.
+PART = 1 << 20
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -45,12 +45,13 @@ def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class ContextTrees:
     """One byte context tree per language, merged into one table of states.
 
-    A state is the longest known context of the last bytes. ``bits[state * SYMBOLS + symbol]``
+    A state is the longest known context of the last bytes. ``bits[state * size + symbol]``
     has the code length of that next symbol in every language. In a language's tree a context
     gives a seen symbol count / (n + d) and the escape d / (n + d), where n counts the symbols
     seen there and d the different ones (escape method C). What escapes is shared among the
     unseen symbols as the next shorter context would, with the seen ones excluded. The shortest
-    context escapes to equal shares. So a context's probabilities sum to one in each language.
+    context escapes to equal shares. Each byte that was learned is a symbol; all others, which no
+    language knows, are one more. So a context's probabilities sum to one in each language.
     """
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
@@ -58,57 +59,61 @@ class ContextTrees:
         if not counts:
             return
         byte_n = sum((np.bincount(g & 255, c, 256) for g, c in counts.values()), np.zeros(256))
-        order = [int(b) for b in np.argsort(-byte_n, kind="stable") if byte_n[b] > 0][: SYMBOLS - 1]
-        self.symbol = np.full(256, SYMBOLS - 1, np.uint32)
+        order = np.flatnonzero(byte_n)
+        size = self.size = min(len(order) + 1, 256)
+        self.symbol = np.full(256, size - 1, np.uint32)
         self.symbol[order] = np.arange(len(order))
         coded = {}
         for lang, (g, c) in counts.items():
             code = np.zeros(len(g), np.uint32)
             for shift in (24, 16, 8, 0):
-                code = code * SYMBOLS + self.symbol[(g >> shift) & 255]
+                code = code * size + self.symbol[(g >> shift) & 255]
             coded[lang] = (code, c)
         # known contexts by length, over all languages
         known = [np.zeros(1, np.int64)]
         for k in range(1, ORDER + 1):
-            all_codes = np.concatenate([(code // SYMBOLS) % SYMBOLS**k for code, _ in coded.values()])
-            seen = np.bincount(all_codes, np.concatenate([c for _, c in coded.values()]), SYMBOLS**k)
+            all_codes = np.concatenate([(code // size) % size**k for code, _ in coded.values()])
+            seen = np.bincount(all_codes, np.concatenate([c for _, c in coded.values()]), size**k)
             known.append(np.flatnonzero(seen >= LEAST))
         first = np.cumsum([0, *map(len, known)])
-        self.state = np.zeros(SYMBOLS**ORDER, np.int32)
-        longest = np.arange(SYMBOLS**ORDER)
+        self.state = np.zeros(size**ORDER, np.int32)
+        longest = np.arange(size**ORDER)
         for k in range(1, ORDER + 1):
-            where = np.full(SYMBOLS**k, -1, np.int64)
+            where = np.full(size**k, -1, np.int64)
             where[known[k]] = first[k] + np.arange(len(known[k]))
-            at = where[longest % SYMBOLS**k]
+            at = where[longest % size**k]
             self.state[at >= 0] = at[at >= 0]
-        self.bits = np.zeros((first[-1] * SYMBOLS, len(self.langs)), np.float32)
+        self.bits = np.zeros((first[-1] * size, len(self.langs)), np.float32)
         for col, lang in enumerate(self.langs):
             code, c = coded[lang]
-            shorter = np.full((1, SYMBOLS), 1 / SYMBOLS)
-            short_at = np.zeros(SYMBOLS ** max(ORDER, 1), np.int64)
+            shorter = np.full((1, size), 1 / size)
+            short_at = np.zeros(size ** max(ORDER, 1), np.int64)
             for k in range(ORDER + 1):
-                where = np.full(SYMBOLS**k, -1, np.int64)
+                where = np.full(size**k, -1, np.int64)
                 where[known[k]] = np.arange(len(known[k]))
-                ctx = where[(code // SYMBOLS) % SYMBOLS**k]
-                n = np.bincount(ctx[ctx >= 0] * SYMBOLS + (code % SYMBOLS)[ctx >= 0], c[ctx >= 0], len(known[k]) * SYMBOLS).reshape(-1, SYMBOLS)
-                parent = shorter if k == 0 else shorter[short_at[known[k] % SYMBOLS ** (k - 1)]]
+                ctx = where[(code // size) % size**k]
+                n = np.bincount(ctx[ctx >= 0] * size + (code % size)[ctx >= 0], c[ctx >= 0], len(known[k]) * size).reshape(-1, size)
+                parent = shorter if k == 0 else shorter[short_at[known[k] % size ** (k - 1)]]
                 total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
                 free = np.where(n > 0, 0, parent)
                 left = free.sum(1, keepdims=True)
                 escape = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0)
                 p = np.where(n > 0, n / np.maximum(total + np.where(left > 0, kinds, 0), 1), escape * free / np.maximum(left, 1e-300))
                 p = np.where(total > 0, p, parent)
-                self.bits[first[k] * SYMBOLS : first[k + 1] * SYMBOLS, col] = -np.log2(np.maximum(p, 1e-12)).reshape(-1)
+                self.bits[first[k] * size : first[k + 1] * size, col] = -np.log2(np.maximum(p, 1e-12)).reshape(-1)
                 shorter, short_at = p, where
                 # a context of one length that is known has all its suffixes known, as they occur at least as often
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language; a text starts after spaces."""
+        """Bits of each text in each language; a text starts after spaces. Long texts are read in parts."""
         out = np.zeros((len(texts), len(self.langs)))
-        data = self.symbol[np.frombuffer(_SPLIT + _SPLIT.join(texts), np.uint8)]
-        context = (data[:-3] * SYMBOLS + data[1:-2]) * SYMBOLS + data[2:-1]
-        bits = self.bits[self.state[context].astype(np.int64) * SYMBOLS + data[3:]]
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        long = [i for i, t in enumerate(texts) if len(t) > PART]
+        for i in long:
+            whole = _SPLIT + texts[i]
+            for low in range(0, len(texts[i]), PART):
+                out[i] += self._bits(whole[low : low + PART + ORDER]).sum(axis=0, dtype=np.float64)
+        lens = np.array([0 if len(t) > PART else len(t) for t in texts], np.int64)
+        bits = self._bits(_SPLIT + _SPLIT.join(b"" if len(t) > PART else t for t in texts))
         begin = np.cumsum(lens + ORDER) - lens - ORDER
         full = lens > 0
         edges = np.stack([begin[full], begin[full] + lens[full]], 1).reshape(-1)
@@ -117,6 +122,12 @@ class ContextTrees:
             out[full] = np.add.reduceat(padded, edges, axis=0, dtype=np.float64)[::2]
         return out
 
+    def _bits(self, data: bytes) -> np.ndarray:
+        """Code length in each language of each byte after the first ORDER."""
+        code = self.symbol[np.frombuffer(data, np.uint8)]
+        context = (code[:-3] * np.uint32(self.size) + code[1:-2]) * np.uint32(self.size) + code[2:-1]
+        return self.bits[self.state[context].astype(np.int64) * self.size + code[3:]]
+
 
 def learned(train: DataFrame) -> ContextTrees:
     """Trees from (lang, id, text): about :data:`SAMPLE_BYTES` of each language's whole texts.

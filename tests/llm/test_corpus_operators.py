@@ -152,13 +152,52 @@ def test_shots_are_cut_at_jumps():
 def test_context_trees_are_distributions():
     texts = {"a": [b"the cat sat on the mat "] * 30, "b": [b"der hund sass auf der matte "] * 30}
     trees = language_id.ContextTrees({k: language_id.gram_counts(v) for k, v in texts.items()})
-    p = np.exp2(-trees.bits.astype(float)).reshape(-1, language_id.SYMBOLS, 2).sum(1)
+    p = np.exp2(-trees.bits.astype(float)).reshape(-1, trees.size, 2).sum(1)
     assert np.allclose(p, 1, atol=1e-4)
     one = trees.code_lengths([b"the mat ", b"", b"der matte "])
     assert (one[1] == 0).all() and one[0].argmin() == 0 and one[2].argmin() == 1
     assert np.allclose(one, np.vstack([trees.code_lengths([t]) for t in (b"the mat ", b"", b"der matte ")]))
 
 
+def test_code_lengths_are_those_of_a_plain_model(monkeypatch):
+    """Two scripts, all their bytes told apart, against escape method C written out in full; long texts in parts cost the same."""
+    rnd = random.Random(3)
+    texts = {"aa": [" ".join(rnd.choice(["sol", "luna", "mar"]) for _ in range(30)).encode() + b" "], "bb": [" ".join(rnd.choice(["мир", "дом", "лес", "sol"]) for _ in range(30)).encode() + b" "]}
+    trees = language_id.ContextTrees({k: language_id.gram_counts(v) for k, v in texts.items()})
+    counts, seen = {}, {}
+    for lang, own in texts.items():
+        for t in own:
+            padded = b"   " + t
+            for i in range(3, len(padded)):
+                for k in range(4):
+                    counts.setdefault((lang, padded[i - k : i]), {}).setdefault(padded[i], 0)
+                    counts[lang, padded[i - k : i]][padded[i]] += 1
+                    seen[padded[i - k : i]] = seen.get(padded[i - k : i], 0) + 1
+    known = sorted({b for v in texts.values() for t in v for b in t})
+    assert trees.size == len(known) + 1
+
+    def share(lang, context, byte):
+        if context is None:
+            return 1 / trees.size
+        shorter = context[1:] if context else None
+        own = counts.get((lang, context), {})
+        if seen.get(context, 0) < language_id.LEAST and context or not own:
+            return share(lang, shorter, byte)
+        n, d = sum(own.values()), len(own)
+        free = sum(share(lang, shorter, b) for b in [*known, -1] if b not in own)
+        if byte in own:
+            return own[byte] / (n + (d if free > 0 else 0))
+        return d / (n + d) * share(lang, shorter, byte) / free
+
+    text = "sol мир лесх luna".encode()
+    padded = b"   " + text
+    symbol = lambda b: b if b in known else -1
+    want = [-sum(np.log2(share(lang, padded[i - 3 : i], symbol(padded[i]))) for i in range(3, len(padded))) for lang in ("aa", "bb")]
+    assert np.allclose(trees.code_lengths([text, b""]), [want, [0, 0]], rtol=1e-4)
+    monkeypatch.setattr(language_id, "PART", 5)
+    assert np.allclose(trees.code_lengths([b"", text, b"sol "])[1], want, rtol=1e-4)
+
+
 def test_language_of_held_out_documents(spark):
     rnd = random.Random(8)
     words = {"en": "the and of to in that house water", "de": "der und von zu das haus wasser nicht", "fr": "le et de à que maison eau été"}
