@@ -285,8 +285,8 @@ def read_back(media: bytes) -> tuple[bytes, list[tuple[int, float, float, int]]]
     return payload[:length], clips
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, payload digest, media digest, clips, media) of every document.
+def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
+    """(id, n_bytes, payload digest, media digest, clips, media) of every document; media is null unless it is kept.
 
     The payload is the whole text in UTF-8 (null: empty), filled with zeros to a positive multiple
     of 64. It is stored as the quantised coefficients of grey JPEG frames in an AVI file, read
@@ -304,7 +304,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                 payload, clips = read_back(media)
                 rows.append((
                     len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(),
-                    [{"clip": c[0], "start_s": c[1], "end_s": c[2], "bin": c[3]} for c in clips], media,
+                    [{"clip": c[0], "start_s": c[1], "end_s": c[2], "bin": c[3]} for c in clips], media if keep else None,
                 ))
                 held += len(media)
                 if held > 8 << 20 or k == batch.num_rows - 1:
@@ -334,6 +334,6 @@ def clip_rows(stored: DataFrame) -> DataFrame:
 
 def op8_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as AVI files and read back, with their digests and timed clips."""
-    stored = store(documents(spark, sf_dir))
+    stored = store(documents(spark, sf_dir), keep=False)
     clip = F.transform("clips", lambda c: F.format_string("%.2f-%.2f:%d", c["start_s"], c["end_s"], c["bin"]))
     return stored.select(F.col("id").alias("doc_id"), *NAMES[:6], F.array_join(clip, ",").alias("feature"))
