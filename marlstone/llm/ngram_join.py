@@ -207,10 +207,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     per = held.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed_grams = per.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     held = written(held.join(mixed_grams.select("gram", "main"), "gram"))
-    minor = held.filter("label <> main").select("gram", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("rx"), F.col("label").alias("lx"))
-    other = held.select("gram", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("room").alias("ry"), F.col("label").alias("ly"), "main")
-    across = minor.join(other, "gram").filter(
-        (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & (9 * F.least("rx", "ry") >= 4 * (F.col("nx") + F.col("ny")))
+    # only documents of near sizes meet: bands of size, each a quarter wider than the last, beside their neighbours
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
+    bands = F.explode(F.array(band - 1, band, band + 1)).alias("band")
+    minor = held.filter("label <> main").select("gram", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("rx"), F.col("label").alias("lx"), bands)
+    other = held.select("gram", band.alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("room").alias("ry"), F.col("label").alias("ly"), "main")
+    across = minor.join(other, ["gram", "band"]).filter(
+        _near_sizes(F.col("nx"), F.col("ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & (9 * F.least("rx", "ry") >= 4 * (F.col("nx") + F.col("ny")))
     )
     across = written(across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
