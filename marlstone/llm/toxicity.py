@@ -201,9 +201,9 @@ def scored(docs: DataFrame, chain: dict, categories: list[str], text: str = "tex
 
 
 def label_categories() -> dict[str, Column]:
-    """The chain's categories from the labels: poor text, abuse in good and in poor text, and last abuse at all."""
+    """The chain's categories from the labels: abuse in good text, in poor text, and last abuse at all."""
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1
-    return {"poor": ~good, "toxic_prose": toxic & good, "toxic_junk": toxic & ~good, "toxic": toxic}
+    return {"toxic_prose": toxic & good, "toxic_junk": toxic & ~good, "toxic": toxic}
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5, most: int = SAMPLE, prefix: str = "") -> DataFrame:
