@@ -13,18 +13,28 @@ from marlstone.plans.scratch import written
 def closure(tree: DataFrame) -> DataFrame:
     """(key, ancestor, steps), each key its own ancestor at 0 steps.
 
-    The distance doubles each round, so a tree of depth d takes about log2(d) joins.
+    The distance doubles each round, so a tree of depth d takes about log2(d) joins. Keys on a
+    cycle of parents reach each other, and themselves, by the fewest steps; rounds end when no
+    new pair appears.
     """
-    known = written(tree.filter("parent IS NOT NULL").select("key", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
+    known = written(tree.filter("parent IS NOT NULL").select("key", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")).distinct())
     reach = 1
     while True:
         top = known.filter(F.col("steps") == reach)
         further = top.join(known.select(F.col("key").alias("ancestor"), F.col("ancestor").alias("far"), F.col("steps").alias("more")), "ancestor")
-        further = written(further.select("key", F.col("far").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
+        further = further.groupBy("key", F.col("far").alias("ancestor")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+        further = written(further.join(known, ["key", "ancestor"], "left_anti"))
         if further.limit(1).count() == 0:
             break
         known, reach = written(known.union(further)), 2 * reach
-    return known.union(tree.select("key", F.col("key").alias("ancestor"), F.lit(0).alias("steps")))
+    return known.filter("key <> ancestor").union(tree.select("key", F.col("key").alias("ancestor"), F.lit(0).alias("steps")))
+
+
+def cycles(tree: DataFrame) -> DataFrame:
+    """(key): nodes that are above themselves."""
+    chain = closure(tree).filter("steps > 0")
+    back = chain.select(F.col("key").alias("ancestor"), F.col("ancestor").alias("key"))
+    return chain.join(back, ["key", "ancestor"]).select("key").union(tree.filter("key = parent").select("key")).distinct()
 
 
 def descendants(tree: DataFrame, chain: DataFrame, wanted: Sequence[str]) -> DataFrame:

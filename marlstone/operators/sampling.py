@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from marlstone.plans.scratch import written
 
 
-def _draw(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+def draw(id_col: str, seed: int) -> Column:
+    """A hexadecimal number that is drawn by id and seed; any engine with MD5 draws the same."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
 def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Rows in an order drawn by the hash of id and seed."""
-    return rows.orderBy(_draw(id_col, seed), id_col)
+    return rows.orderBy(draw(id_col, seed), id_col)
 
 
 def first_of(rows: DataFrame, id_col: str, by: str, size: int, seed: int) -> DataFrame:
@@ -23,7 +24,7 @@ def first_of(rows: DataFrame, id_col: str, by: str, size: int, seed: int) -> Dat
     Spark keeps the first ``size`` rows of a group in each task before it shuffles, so a value
     with a third of all rows sends a few rows a task.
     """
-    nth = Window.partitionBy(by).orderBy(_draw(id_col, seed), id_col)
+    nth = Window.partitionBy(by).orderBy(draw(id_col, seed), id_col)
     return rows.withColumn("__nth", F.row_number().over(nth)).filter(F.col("__nth") <= size)
 
 

@@ -126,26 +126,40 @@ def facet_filter(request: Request) -> list[Column]:
     return [F.arrays_overlap(F.col(c), F.array(*[F.lit(v) for v in values])) for c, values in request.facets.items() if values]
 
 
-def search(items: DataFrame, request: Request, id_col: str, title: str, sections: dict[str, Column], synonyms=(), live: Column | None = None) -> DataFrame:
+#: What a summary's similarity counts beside a title's.
+SUMMARY = 0.8
+
+
+def search(
+    items: DataFrame, request: Request, id_col: str, title: str, sections: dict[str, Column], synonyms=(), live: Column | None = None,
+    summary: str | None = None, rules: dict[str, tuple[list[list[list[str]]], Sequence[str]]] | None = None,
+) -> DataFrame:
     """A page of (id, title, rank, total): matches of the query within the facets.
 
     All groups must match, or the title be similar by trigrams; if fewer than ENOUGH items
-    are left, any group will do. The rank is the larger of the text score and the title's
-    similarity; ties end with title and id. A page past the end has no rows. The items are
+    are left, any group will do. The rank is the largest of the text score, the title's
+    similarity and SUMMARY times that of the ``summary`` column; ties end with title and id. A
+    query that is a phrase of ``rules`` looks for the groups of its rule in the sections of its
+    rule instead, and neither titles nor a relaxed match add to them. A page past the end has no rows. The items are
     scanned once: what matches at all is written, and the counts and the page read that.
     """
     held = items
     for test in [*facet_filter(request), *([live] if live is not None else [])]:
         held = held.filter(test)
-    groups = expand(request.query, synonyms)
+    rule = (rules or {}).get(" ".join(request.query.lower().split()))
+    groups = rule[0] if rule else expand(request.query, synonyms)
+    if rule:
+        sections = {s: sections[s] for s in rule[1]}
     if groups:
         alike = T.trigram_similarity(F.col(title), F.lit(request.query))
-        scored = held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.coalesce(alike, F.lit(0.0)).alias("alike"), row_scores(sections, groups).alias("m"))
-        near = F.col("alike") >= FUZZY
-        scored = written(scored.select("id", "title", "alike", "m.hits", "m.score").filter((F.col("hits") > 0) | near))
+        scored = held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.coalesce(alike, F.lit(0.0)).alias("alike"), row_scores(sections, groups).alias("m"),
+            *([F.lit(SUMMARY) * F.coalesce(T.trigram_similarity(F.col(summary), F.lit(request.query)), F.lit(0.0))] if summary else [F.lit(0.0)]))
+        scored = scored.toDF("id", "title", "alike", "m", "told")
+        near = F.lit(False) if rule else F.col("alike") >= FUZZY
+        scored = written(scored.select("id", "title", "alike", "told", "m.hits", "m.score").filter((F.col("hits") > 0) | near))
         strict = scored.filter((F.col("hits") == len(groups)) | near)
-        found = strict if strict.limit(ENOUGH).count() == ENOUGH else scored
-        ranked = found.select("id", "title", F.greatest("score", "alike").alias("rank"))
+        found = strict if rule or strict.limit(ENOUGH).count() == ENOUGH else scored
+        ranked = found.select("id", "title", F.greatest("score", "alike", "told").alias("rank"))
     else:
         ranked = held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.lit(0.0).alias("rank"))
     keys = {"title": []}.get(request.order, [F.col("rank").desc()])

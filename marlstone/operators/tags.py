@@ -52,7 +52,7 @@ def title_case(slug: Column) -> Column:
 
 
 # What seasons are called.
-SEASONS = {"fall": ("Fall",), "autumn": ("Fall",), "winter": ("Winter",), "spring": ("Spring",), "summer": ("Summer",), "year-round": ("Fall", "Winter", "Spring", "Summer")}
+SEASONS = {"fall": ("Fall",), "autumn": ("Fall",), "winter": ("Winter",), "spring": ("Spring",), "summer": ("Summer",), } | dict.fromkeys(("year-round", "all year", "all-year"), ("Fall", "Winter", "Spring", "Summer"))
 
 
 def seasons(values: Column) -> Column:

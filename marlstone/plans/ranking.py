@@ -88,10 +88,11 @@ def u3_array_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.items(spark, sf_dir).filter(F.col("tags").isNotNull()).select("id", *[F.array_join(c, ",").alias(n) for n, c in parts.items()])
 
 
-@query("m1_seeded_order")
+@query("m1_seeded_order", "SELECT p_partkey, md5(p_partkey || ':11') AS draw FROM part ORDER BY draw, p_partkey")
 def m1_seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All items in an order drawn by a seed; the draw is a hash that SQL lacks."""
-    return sampling.shuffled(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 11)
+    """All items in an order drawn by a seed, with their draws."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", sampling.draw("p_partkey", 11).alias("draw"))
+    return sampling.shuffled(rows, "p_partkey", 11)
 
 
 @query(
@@ -108,13 +109,32 @@ def m2_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.concat("lang", F.lit(":"), part.cast("string")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m3_stratified_sample")
+def _stratified_sql(rows: str, id_col: str, stratum: str, size: str, seed: int) -> str:
+    """The SQL of sampling.stratified."""
+    return (
+        f"(SELECT {id_col}, {stratum} FROM (SELECT {id_col}, {stratum}, nth, (nth > round(n * {size} / greatest(total, 1)))::INT AS late FROM ("
+        f"SELECT {id_col}, {stratum}, row_number() OVER (PARTITION BY {stratum} ORDER BY md5({id_col} || ':{seed}'), {id_col}) AS nth, count(*) OVER (PARTITION BY {stratum}) AS n, count(*) OVER () AS total "
+        f"FROM {rows}) WHERE nth <= {size}) ORDER BY late, nth, {id_col} LIMIT {size})"
+    )
+
+
+@query("m3_stratified_sample", f"SELECT * FROM {_stratified_sql('documents', 'doc_id', 'lang', '120', 1)}")
 def m3_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exactly 120 documents in proportion to their languages; the draw is a hash that SQL lacks."""
+    """Exactly 120 documents in proportion to their languages."""
     return sampling.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 120)
 
 
-@query("m4_layered_sample")
+@query(
+    "m4_layered_sample",
+    f"WITH {V.ITEMS}, r AS (SELECT * FROM items WHERE len(tags) > 0), "
+    "k AS (SELECT id, kinds[1] AS kind, row_number() OVER (PARTITION BY kinds[1] ORDER BY md5(id || ':1'), id) AS nth FROM r WHERE size > 47), "
+    "hard AS (SELECT id FROM k WHERE nth <= 60 ORDER BY nth, kind LIMIT 20), each AS (SELECT id, unnest(tags) AS v FROM r), "
+    "have AS (SELECT v, count(*) AS h FROM each WHERE id IN (SELECT id FROM hard) GROUP BY v), "
+    "rest AS (SELECT id, v, row_number() OVER (PARTITION BY v ORDER BY md5(id || ':2'), id) AS nth FROM each WHERE id NOT IN (SELECT id FROM hard)), "
+    "cover AS (SELECT DISTINCT id FROM rest LEFT JOIN have USING (v) WHERE nth <= 2 AND nth + coalesce(h, 0) <= 2), "
+    "taken AS (SELECT id, 'hard' AS layer FROM hard UNION ALL SELECT id, 'cover' FROM cover), left_over AS (SELECT id, size FROM r WHERE id NOT IN (SELECT id FROM taken)) "
+    "SELECT id, layer FROM taken UNION ALL SELECT id, 'fill' FROM " + _stratified_sql("left_over", "id", "size", "(SELECT greatest(0, 60 - count(*)) FROM taken)", 3),
+)
 def m4_layered_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard cases in turn, then items until each value is there twice, then a stratified fill (M4)."""
     return sampling.layered(V.items(spark, sf_dir).filter(F.size("tags") > 0), "id", "tags", F.when(F.col("size") > 47, F.col("kinds")[0]), "size", 60)

@@ -72,13 +72,13 @@ def s7_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_lines(spark, path, "event_id long, event_type string", ["event_id", "event_type"])
 
 
-@query("s8_worksheets", "SELECT p_name AS title, min(p_brand) AS brand FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+@query("s8_worksheets", "SELECT p_name || ' \"' || p_size || '\"' AS title, min(p_brand) AS brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def s8_worksheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted CSV files merged by key, without the keys whose rows differ."""
     paths = [scratch_folder(spark), scratch_folder(spark)]
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_brand").alias("brand"))
+    rows = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(' "'), F.col("p_size").cast("string"), F.lit('"')).alias("title"), F.col("p_brand").alias("brand"))
     for p in paths:
-        rows.write.option("quoteAll", True).csv(p, header=True)
+        rows.write.option("quoteAll", True).option("escape", '"').csv(p, header=True)
     return readers.worksheets(spark, paths, "title", ["title", "brand"])[0].select("title", "brand")
 
 

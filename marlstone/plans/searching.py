@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import facets, hierarchy
 from marlstone.operators import search as S
+from marlstone.operators.requests import request_of
 from marlstone.plans import views as V
 from marlstone.plans.catalog import query
 from marlstone.plans.scratch import small, written
@@ -71,15 +72,51 @@ def o2_title_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t6_phrase_rule",
-    f"WITH {V.TEXTS} SELECT id, title FROM texts WHERE list_contains({V.words_sql('title')}, 'thha') OR list_contains({V.words_sql('title')}, 'thre') ORDER BY title, id",
+    f"WITH {V.TEXTS}, ranked AS (SELECT id, title, 1.0::DOUBLE AS rank FROM texts WHERE list_contains({V.words_sql('title')}, 'thha') OR list_contains({V.words_sql('title')}, 'thre')) "
+    "SELECT id, title, rank, (SELECT count(*) FROM ranked) AS total FROM ranked ORDER BY rank DESC, title, id LIMIT 20",
 )
 def t6_phrase_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase with a rule of its own looks for its concept in the heavy sections only."""
     rules = {"thha thre": ([[["thha"], ["thre"]]], ("A",))}
-    groups, sections = rules["thha thre"]
-    rows = V.texts(spark, sf_dir)
-    posts = S.postings(rows, "id", {s: F.col("title") for s in sections})
-    return rows.join(S.matched(posts, groups).select("id"), "id", "left_semi").select("id", "title")
+    found = S.search(V.texts(spark, sf_dir), S.Request("Thha  thre"), "id", "title", {"A": F.col("title"), "D": F.col("body")}, rules=rules)
+    return found.select("id", "title", F.round("rank", 6).alias("rank"), "total")
+
+
+#: The search over four sections, whose summary is the second line, with the summary's leg of the rank.
+FOUR_SECTIONS = (
+    SEARCH.replace("text AS body", "split_part(text, chr(10), 2) AS summary, text AS body")
+    .replace("UNION ALL SELECT id, unnest", f"UNION ALL SELECT id, unnest({V.words_sql('summary')}), 0.4 FROM texts WHERE {{live}} UNION ALL SELECT id, unnest({V.words_sql('source')}), 0.2 FROM texts WHERE {{live}} UNION ALL SELECT id, unnest", 1)
+    .replace("AS alike FROM", f"AS alike, 0.8 * {V.jaccard_sql(V.trigrams_sql('t.summary'), V.trigrams_sql('{query}'))} AS told FROM")
+    .replace("greatest(coalesce(score, 0.0), alike)", "greatest(coalesce(score, 0.0), alike, told)")
+)
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    rows = V.texts(spark, sf_dir).withColumn("summary", F.coalesce(F.get(F.split("body", "\n", 3), F.lit(1)), F.lit("")))
+    rows = rows.withColumn("levels", F.array(F.regexp_extract("source", "([0-9]+)", 1)))
+    return rows, {"A": F.col("title"), "B": F.col("summary"), "C": F.col("source"), "D": F.col("body")}
+
+
+def _sections_sql(words: str, live: str = "true") -> str:
+    groups, n = _groups(words)
+    out = FOUR_SECTIONS.replace("{groups}", groups).replace("{n}", str(n)).replace("{live}", live).replace("'{query}'", f"'{words}'").replace("{query}", f"'{words}'")
+    return out.replace("{order}", "rank DESC, title, id").replace("{size}", "20").replace("{offset}", "0")
+
+
+@query("t9_summary_rank", _sections_sql("thble src3 erst"))
+def t9_summary_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over titles, summaries, tags and bodies, each with its weight; a like summary lifts the rank."""
+    rows, sections = _sections(spark, sf_dir)
+    found = S.search(rows, S.Request("thble src3 erst"), "id", "title", sections, summary="summary")
+    return found.select("id", "title", F.round("rank", 6).alias("rank"), "total")
+
+
+@query("p22_typed_query", _sections_sql("thble erst", "regexp_extract(source, '([0-9]+)', 1) IN ('2', '3', '4')"))
+def p22_typed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed query: fillers go, and its range of levels is a filter."""
+    rows, sections = _sections(spark, sf_dir)
+    found = S.search(rows, request_of("the thble lessons for grades 2 to 4, erst", {}, "levels"), "id", "title", sections, summary="summary")
+    return found.select("id", "title", F.round("rank", 6).alias("rank"), "total")
 
 
 @query(
@@ -158,10 +195,10 @@ def h2_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.closure(V.tree(spark, sf_dir))
 
 
-@query("h3_dangling", f"WITH {V.TREE} SELECT key, parent FROM tree WHERE parent IS NOT NULL AND parent NOT IN (SELECT key FROM tree)")
+@query("h3_dangling", f"WITH {V.TREE}, cut AS (SELECT * FROM tree WHERE key <> 'R2') SELECT key, parent FROM cut WHERE parent IS NOT NULL AND parent NOT IN (SELECT key FROM cut)")
 def h3_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes whose parent is missing."""
-    return hierarchy.dangling(V.tree(spark, sf_dir)).select("key", "parent")
+    """Nodes whose parent is missing, of a tree without one of its roots."""
+    return hierarchy.dangling(V.tree(spark, sf_dir).filter("key <> 'R2'")).select("key", "parent")
 
 
 @query(

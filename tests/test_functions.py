@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import filters as P
 from marlstone.functions import text as T
-from marlstone.operators import duplicates, evaluation, facets, hierarchy, sampling, search, tags, workflow
+from marlstone.operators import duplicates, evaluation, facets, hierarchy, requests, sampling, search, tags, workflow
 from marlstone.operators.graph import components
 from marlstone.sources import readers
 
@@ -43,7 +43,7 @@ def test_filters_on_nulls(spark):
 
 def test_tag_functions(spark):
     f = tags.floor(a("x", "Red", "b", "a"), ["x"], {"red": "a"}, ["a", "b"])
-    r = one(spark, f, tags.reconcile(a("a", "b"), a("b", "c"), a("c", "d", "e"), ["e"]), tags.seasons(a("year-round", "fall")), T.json_strings(F.lit("null")), T.folded(a(" A", "a", "z"), {"a": "b"}))
+    r = one(spark, f, tags.reconcile(a("a", "b"), a("b", "c"), a("c", "d", "e"), ["e"]), tags.seasons(a("All Year", "fall")), T.json_strings(F.lit("null")), T.folded(a(" A", "a", "z"), {"a": "b"}))
     assert [tuple(x) for x in r[0]] == [("a", "exact"), ("b", "exact")]
     assert list(r)[1:] == [["a", "d"], ["Fall", "Winter", "Spring", "Summer"], [], ["b", "z"]]
     again = one(spark, T.folded(T.folded(a("A", "z"), {"a": "b"}), {"a": "b"}))
@@ -65,6 +65,34 @@ def test_search_without_words_and_past_the_end(spark):
     assert found(query="x", offset=50).count() == 0
 
 
+def test_typed_queries():
+    cases = {
+        "3rd Grade, soup": ("soup", ["3"]), "lessons about the garden for Grades K - 2": ("garden", ["K", "1", "2"]), "grades 5 to 3 beans": ("beans", ["3", "4", "5"]), "grade 9 corn": ("grade 9 corn", []),
+        "grades 3-9 corn": ("grades 3-9 corn", []), "pre-k kindergarten 3K": ("", ["3K", "PK", "K"]), "lessons for the": ("lessons for the", []), "grade second graders?": ("graders?", ["2"]), "3 sisters": ("3 sisters", []),
+        "grades three through fifth.": ("", ["3", "4", "5"]), "  ": ("", []), "grades 3 to 9": ("to 9", ["3"]), "K-2 corn": ("K-2 corn", []),
+    }
+    assert {q: requests.parsed(q) for q in cases} == cases and requests.parsed(None) == ("", [])
+    assert requests.request_of("grade 2 corn", {}, "level").facets == {"level": ["2"]}
+    assert requests.request_of("grade 2 corn", {"level": ["5"]}, "level").facets == {"level": ["5"]}
+
+
+def test_phrase_rules_and_summaries(spark):
+    rows = spark.createDataFrame([(1, "bake pie", "x", "taste"), (2, "pie test", "y", "z"), (3, "soup", "taste test", "q"), (4, None, None, None)], "id long, title string, summary string, body string")
+    parts = {"A": F.col("title"), "D": F.col("body")}
+    rules = {"taste test": ([[["bake"], ["pie"]]], ("A",))}
+    found = search.search(rows, search.Request(" Taste  TEST"), "id", "title", parts, rules=rules).collect()
+    assert [(r.id, r.rank, r.total) for r in found] == [(1, 1.0, 2), (2, 1.0, 2)]
+    found = search.search(rows, search.Request("taste test"), "id", "title", parts | {"B": F.col("summary")}, summary="summary").collect()
+    assert [r.id for r in found] == [2, 3, 1] and abs(found[1].rank - 0.8) < 1e-9
+
+
+def test_cycles_of_parents_end(spark):
+    tree = spark.createDataFrame([("a", "a", "b"), ("b", "b", "c"), ("c", "c", "a"), ("d", "d", "a"), ("e", "e", None), ("f", "f", "f")], "key string, label string, parent string")
+    got = {(r.key, r.ancestor): r.steps for r in hierarchy.closure(tree).collect()}
+    assert got[("d", "c")] == 3 and got[("a", "c")] == 2 and got[("a", "a")] == 0 and len(got) == 3 * 3 + 4 + 1 + 1
+    assert sorted(r.key for r in hierarchy.cycles(tree).collect()) == ["a", "b", "c", "f"]
+
+
 def test_facet_counts_leave_the_own_filter_out(spark):
     rows = spark.createDataFrame([(["a"], ["x"]), (["b"], ["x"]), (["b"], ["y"]), (None, ["x"]), (["a", "a"], None)], "c array<string>, d array<string>")
     got = {(r.category, r.value): r.n for r in facets.true_counts(rows, ["c", "d"], {"c": ["a"], "d": ["x"]}).collect()}
