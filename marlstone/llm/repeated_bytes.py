@@ -1,9 +1,9 @@
-"""Removal of repeated 50-byte strings across documents, by sorted samples of suffixes.
+"""Removal of repeated 50-byte strings across documents, by anchored windows.
 
 Every window of 50 bytes has an anchor: the smallest of its hashed 20-grams. Equal windows have
-equal anchors, so it is enough to sort the suffixes (and the 30 bytes before them) that start
-at anchors, about one in sixteen, instead of all of them. See the README for why this stands in
-for external induced sorting of all suffixes.
+equal anchors, so it is enough to deal out the anchors, about one byte in sixteen, with the 30
+bytes on either side. No suffix is sorted. See the README for why this stands in
+for external induced sorting of all suffixes, with figures.
 """
 
 from __future__ import annotations
