@@ -49,10 +49,20 @@ def t19_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.trim(F.coalesce(t, F.lit(""))) != "", T.content_hash(t)).otherwise(meta).alias("hash"))
 
 
-@query("t20_tag_overlap", f"WITH {V.ITEMS}, o AS (SELECT id, coalesce(tags, []) AS g, kinds AS k FROM items) SELECT id, round((0.7 * {V.jaccard_sql('g', chr(91) + chr(39) + 'red' + chr(39) + ', ' + chr(39) + 'ring' + chr(39) + chr(93), 1.0)} + 0.3 * {V.jaccard_sql('k', chr(91) + chr(39) + 'SMALL' + chr(39) + chr(93), 1.0)}) / 1.0, 6)::DOUBLE AS overlap FROM o")
+#: Seven sets of an item, as Spark and as SQL expressions, what they are compared with, and their weights.
+OVERLAPS = [
+    ("tags", "coalesce(tags, [])", ["red", "ring"], 0.25), ("kinds", "kinds", ["SMALL"], 0.2), ("brands", "brands", ["Brand#2"], 0.15),
+    ("split(kinds[0], ' ')", "string_split(kinds[1], ' ')", ["SMALL", "STEEL"], 0.15), ("array(cast(size div 10 AS STRING))", "[(size // 10)::VARCHAR]", ["1"], 0.1),
+    ("slice(coalesce(tags, cast(array() AS array<string>)), 1, 1)", "coalesce(tags, [])[1:1]", ["red"], 0.1), ("array(cast(cast(floor(price / 500) AS INT) AS STRING))", "[floor(price / 500)::INT::VARCHAR]", ["2"], 0.05),
+]
+_GIVEN = ["[" + ", ".join(f"'{v}'" for v in given) + "]" for _, _, given, _ in OVERLAPS]
+_PARTS = " + ".join(f"{w} * {V.jaccard_sql(sql, given, 1.0)}" for (_, sql, _, w), given in zip(OVERLAPS, _GIVEN, strict=True))
+
+
+@query("t20_tag_overlap", f"WITH {V.ITEMS} SELECT id, round(({_PARTS}) / {sum(o[3] for o in OVERLAPS)!r}, 6)::DOUBLE AS overlap FROM items")
 def t20_tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted overlap of tag sets."""
-    pairs = [(F.col("tags"), F.array(F.lit("red"), F.lit("ring")), 0.7), (F.col("kinds"), F.array(F.lit("SMALL")), 0.3)]
+    """Weighted overlap of seven sets of an item with given ones; two empty sets agree, one empty set doesn't."""
+    pairs = [(F.expr(name), F.array(*[F.lit(v) for v in given]), w) for name, _, given, w in OVERLAPS]
     return V.items(spark, sf_dir).select("id", F.round(D.weighted_overlap(pairs), 6).alias("overlap"))
 
 
