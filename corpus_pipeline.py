@@ -25,15 +25,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id; of rows of one id one."""
-    groups = written(ngram_join.similar_groups(docs))
-    gone = groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    left = docs.join(small(gone, 2_000_000), "doc_id", "left_anti")
-    repeated = written(left.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.limit(1).count() == 0:
-        return _like(left, docs)
-    once = left.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _like(left.join(small(repeated), "doc_id", "left_anti"), docs).union(_like(once, docs))
+    """Of each group of similar documents the one with the smallest id; a null id comes last.
+
+    Rows are told apart by a key that is written with them, so null and repeated ids lose none
+    but copies.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = written(ngram_join.similar_groups(rows, "__row").filter("id <> component_id").select(F.col("id").alias("__row"), F.col("component_id").alias("__group")))
+    members = small(groups.union(groups.select(F.col("__group").alias("__row"), "__group").distinct()), 1_000_000)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row")))
+    of_group = written(rows.select("__row", "doc_id").join(members, "__row"))
+    kept = of_group.groupBy("__group").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    gone = written(of_group.select("__row").join(small(kept), "__row", "left_anti"))
+    return _like(rows.join(small(gone, 1_000_000), "__row", "left_anti"), docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
