@@ -150,13 +150,44 @@ def _near_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= 80 * F.greatest(a, b)
 
 
+def _classes(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, bool]:
+    """Classes of equal texts of the rows (id, text), each under a number of its own.
+
+    Returns (id, rep) of the different rows, ``rep`` being the number of their class; (id, text)
+    of each class under its number; the numbers that occur there more than once, as their rows
+    are repeated, or None; and whether numbers differ from the smallest id of the class. They do
+    only if some id has several texts, each of which needs a number then: all such classes get
+    one above the largest id.
+    """
+    keyed = written(text_classes(given).groupBy("id", "key", "rep").agg(F.count(F.lit(1)).alias("rows")))
+    firsts = keyed.filter("id = rep")
+    twice = written(firsts.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep"))
+    renamed = twice.limit(1).count() > 0
+    if renamed:
+        top = int(keyed.agg(F.max("id")).first()[0])
+        numbers = written(firsts.join(small(twice), "rep", "left_semi").select("key", (F.monotonically_increasing_id() + F.lit(top + 1)).alias("node")))
+        numbered = keyed.join(small(numbers), "key", "left").select("id", "key", F.coalesce("node", "rep").alias("rep"), (F.col("id") == F.col("rep")).alias("first"), "rows")
+        classes = written(numbered)
+        copies = classes.filter("NOT first").select("id", "key")
+        texts = given.withColumn("key", F.md5("text")).join(small(copies), ["id", "key"], "left_anti").join(small(numbers), "key", "left")
+        reps = texts.select(F.coalesce("node", "id").alias("id"), "text")
+        again = classes.filter("first AND rows > 1").select(F.col("rep").alias("id"))
+    else:
+        classes = keyed
+        # one text per class: a shuffle-free anti join if the copies are few enough to be broadcast
+        reps = given.join(small(keyed.filter("id <> rep").select("id"), 2_000_000), "id", "left_anti")
+        again = firsts.filter("rows > 1").select("id")
+    return classes.select("id", "rep"), reps, again if again.limit(1).count() else None, renamed
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document; ids must be integers.
 
     Documents link if the Jaccard similarity of their sets of distinct 5-grams is 0.8 or more;
     component_id is the smallest id that links lead to. Texts without words (null, empty) have
     an empty set and link with nothing, and so do rows with a null id. Equal texts are one class, of which the smallest id
-    takes part. Rows that repeat an id count as one document if the text repeats, too.
+    takes part. Rows that repeat an id and its text are one row of the result; other texts of the
+    same id are documents of their own, each linked by its own text alone.
 
     Candidates share an n-gram of their prefixes in a global order, rare n-grams first. In a
     group of documents with the same n-gram two are centres, one by its share of frequent
@@ -170,10 +201,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     given = rows.filter("id IS NOT NULL")
-    classes = written(text_classes(given).select("id", "rep").distinct())
-    copies = classes.filter("id <> rep").select("id").distinct()
-    # one text per class: a shuffle-free anti join if the copies are few enough to be broadcast
-    reps = given.join(small(copies, 2_000_000), "id", "left_anti")
+    classes, reps, again, renamed = _classes(given)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, texts in slices(batches):
@@ -182,6 +210,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     levels = slot_levels(reps, keys_of, bits_for(text_bytes(given, "text") / 7, 2), (2, MANY))
     index = written(indexed(reps, levels))
     levels.destroy()
+    if again is not None:
+        index = written(index.join(again, "id", "left_anti").union(index.join(again, "id", "left_semi").dropDuplicates(["id"])))
     sets = index.filter("prefix IS NOT NULL")
     posts = sets.select("id", "n", "alone", "core", F.posexplode("prefix").alias("at", "gram"))
     posts = posts.select("id", "n", "core", "gram", (F.col("n") - F.col("alone") - F.col("at")).alias("room"))
@@ -227,9 +257,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     # 3. classes of documents by their components
     final = near.select("id", "label").union(joined.join(near, joined["label"] == near["id"], "left_anti").select("label", F.col("label").alias("x")))
     final = final.join(joined, "label", "left").select(F.col("id").alias("rep"), F.coalesce("low", "label").alias("low"))
-    sizes = index.select(F.col("id").alias("rep"), "n").distinct()
-    low = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("low", "rep"))
-    grouped = classes.join(sizes, "rep").join(final, "rep", "left").select("id", F.col("n").alias("n_shingles"), low.alias("component_id"))
+    sizes = index.select(F.col("id").alias("rep"), "n")
+    grouped = classes.join(sizes, "rep").join(final, "rep", "left").select("id", "n", F.coalesce("low", "rep").alias("low"))
+    if renamed:  # numbers of classes back to the smallest id of their component
+        grouped = written(grouped)
+        grouped = grouped.join(grouped.filter("n > 0").groupBy("low").agg(F.min("id").alias("least")), "low", "left").select("id", "n", F.col("least").alias("low"))
+    grouped = grouped.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("low")).alias("component_id"))
 
     def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):

@@ -66,6 +66,31 @@ def test_similarity_components(spark):
     assert len(rows) == len(texts)
 
 
+def test_similarity_of_repeated_ids_and_rows(spark):
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    half = " ".join([*(f"a{i}" for i in range(20)), *(f"x{i}" for i in range(10))])  # below 0.8 of the first
+    near = own[1] + " more"
+    given = [(3, own[0]), (5, own[0]), (5, own[1]), (9, own[1]), (11, near), (12, half), (3, own[0]), (12, half), (5, None), (20, own[2]), (20, own[3]), (1, own[3])]
+    rows = ngram_join.similar_groups(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in rows) == [
+        (1, 26, 1), (3, 26, 3), (5, 0, 5), (5, 26, 3), (5, 26, 5), (9, 26, 5), (11, 27, 5), (12, 26, 12), (20, 26, 1), (20, 26, 20)
+    ]
+    # repeated rows alone: their overlaps count once
+    rows = ngram_join.similar_groups(spark.createDataFrame([(3, own[0]), (3, own[0]), (12, half), (12, half)], "doc_id long, text string")).collect()
+    assert sorted((r.id, r.component_id) for r in rows) == [(3, 3), (12, 12)]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    given = [(3, own[0]), (5, own[0]), (5, own[1]), (9, own[1] + " more"), (None, own[2]), (None, own[2]), (None, own[3]), (4, own[3]), (7, None), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in given], "doc_id long, text string, __group string")
+    got = pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted([(3, own[0]), (5, own[1]), (0, own[2]), (4, own[3]), (7, ""), (7, ""), (7, "")])
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (99, 101)], "x long, y long")
     got = {r.id: r.label for r in components(links).collect()}
