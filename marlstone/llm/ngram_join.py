@@ -153,7 +153,8 @@ def _near_sizes(a: Column, b: Column) -> Column:
 def _classes(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, bool]:
     """Classes of equal texts of the rows (id, text), each under a number of its own.
 
-    Returns (id, rep) of the different rows, ``rep`` being the number of their class; (id, text)
+    Returns (id, rep, rows) of the different rows, ``rep`` being the number of their class and
+    ``rows`` how many rows are equal; (id, text)
     of each class under its number; the numbers that occur there more than once, as their rows
     are repeated, or None; and whether numbers differ from the smallest id of the class. They do
     only if some id has several texts, each of which needs a number then: all such classes get
@@ -177,7 +178,7 @@ def _classes(given: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None,
         # one text per class: a shuffle-free anti join if the copies are few enough to be broadcast
         reps = given.join(small(keyed.filter("id <> rep").select("id"), 2_000_000), "id", "left_anti")
         again = firsts.filter("rows > 1").select("id")
-    return classes.select("id", "rep"), reps, again if again.limit(1).count() else None, renamed
+    return classes.select("id", "rep", "rows"), reps, again if again.limit(1).count() else None, renamed
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,8 +187,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Documents link if the Jaccard similarity of their sets of distinct 5-grams is 0.8 or more;
     component_id is the smallest id that links lead to. Texts without words (null, empty) have
     an empty set and link with nothing, and so do rows with a null id. Equal texts are one class, of which the smallest id
-    takes part. Rows that repeat an id and its text are one row of the result; other texts of the
-    same id are documents of their own, each linked by its own text alone.
+    takes part. Rows that repeat an id and its text are rows of one document; other texts of the
+    same id are documents of their own, each linked by its own text alone. Each row given is a row of the result.
 
     Candidates share an n-gram of their prefixes in a global order, rare n-grams first. In a
     group of documents with the same n-gram two are centres, one by its share of frequent
@@ -258,10 +259,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     final = near.select("id", "label").union(joined.join(near, joined["label"] == near["id"], "left_anti").select("label", F.col("label").alias("x")))
     final = final.join(joined, "label", "left").select(F.col("id").alias("rep"), F.coalesce("low", "label").alias("low"))
     sizes = index.select(F.col("id").alias("rep"), "n")
-    grouped = classes.join(sizes, "rep").join(final, "rep", "left").select("id", "n", F.coalesce("low", "rep").alias("low"))
+    grouped = classes.join(sizes, "rep").join(final, "rep", "left").select("id", "rows", "n", F.coalesce("low", "rep").alias("low"))
     if renamed:  # numbers of classes back to the smallest id of their component
         grouped = written(grouped)
-        grouped = grouped.join(grouped.filter("n > 0").groupBy("low").agg(F.min("id").alias("least")), "low", "left").select("id", "n", F.col("least").alias("low"))
+        grouped = grouped.join(grouped.filter("n > 0").groupBy("low").agg(F.min("id").alias("least")), "low", "left").select("id", "rows", "n", F.col("least").alias("low"))
+    grouped = grouped.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     grouped = grouped.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("low")).alias("component_id"))
 
     def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

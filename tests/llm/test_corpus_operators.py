@@ -73,11 +73,11 @@ def test_similarity_of_repeated_ids_and_rows(spark):
     given = [(3, own[0]), (5, own[0]), (5, own[1]), (9, own[1]), (11, near), (12, half), (3, own[0]), (12, half), (5, None), (20, own[2]), (20, own[3]), (1, own[3])]
     rows = ngram_join.similar_groups(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.id, r.n_shingles, r.component_id) for r in rows) == [
-        (1, 26, 1), (3, 26, 3), (5, 0, 5), (5, 26, 3), (5, 26, 5), (9, 26, 5), (11, 27, 5), (12, 26, 12), (20, 26, 1), (20, 26, 20)
+        (1, 26, 1), (3, 26, 3), (3, 26, 3), (5, 0, 5), (5, 26, 3), (5, 26, 5), (9, 26, 5), (11, 27, 5), (12, 26, 12), (12, 26, 12), (20, 26, 1), (20, 26, 20)
     ]
-    # repeated rows alone: their overlaps count once
+    # repeated rows alone: their overlaps count once, and each is a row of the result
     rows = ngram_join.similar_groups(spark.createDataFrame([(3, own[0]), (3, own[0]), (12, half), (12, half)], "doc_id long, text string")).collect()
-    assert sorted((r.id, r.component_id) for r in rows) == [(3, 3), (12, 12)]
+    assert sorted((r.id, r.component_id) for r in rows) == [(3, 3), (3, 3), (12, 12), (12, 12)]
 
 
 def test_near_duplicates_of_null_and_repeated_ids(spark, tmp_path):
