@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import language_id, lexical_search, media_avi, ngram_join, packing, periodic_runs, pii, quality_rules, repeated_bytes, secret_scans, source_mixing, toxicity
+from marlstone.llm import language_id, lexical_search, media_avi, minhash_dedup, ngram_join, packing, periodic_runs, pii, quality_rules, repeated_bytes, secret_scans, source_mixing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,7 +15,8 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_repeated_bytes": repeated_bytes.op10_repeated_bytes,
     "op6_secret_scans": secret_scans.op6_secret_scans,
+    "op11_minhash_dedup": minhash_dedup.op11_minhash_dedup,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
-SQL = {"op3_quality_rules": quality_rules.SQL, "op9_ngram_join": ngram_join.SQL, "op10_repeated_bytes": repeated_bytes.SQL, "op12_periodic_runs": periodic_runs.SQL, "op13_lexical_search": lexical_search.SQL}
+SQL = {"op11_minhash_dedup": minhash_dedup.SQL, "op3_quality_rules": quality_rules.SQL, "op9_ngram_join": ngram_join.SQL, "op10_repeated_bytes": repeated_bytes.SQL, "op12_periodic_runs": periodic_runs.SQL, "op13_lexical_search": lexical_search.SQL}
