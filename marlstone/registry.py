@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import aggregates, curation, filters, groups, joins, ranking, scans, searching, similarity, tagging  # noqa: F401
+from marlstone.plans import aggregates, curation, filters, groups, joins, near_vectors, ranking, scans, searching, similarity, tagging  # noqa: F401
 from marlstone.plans.catalog import QUERIES, SQL
 
 FLAGSHIP = "search_facets_synonyms"
