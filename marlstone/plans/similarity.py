@@ -95,40 +95,6 @@ def d3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark, sf_dir)
 
 
-@query(
-    "d4_group_tiers",
-    f"{GROUPS}, m AS (SELECT g.id, label, lower(body) AS t, length(body) AS n FROM groups g JOIN texts USING (id)), s AS (SELECT label, count(*) AS members, max(n) - min(n) AS spread, count(DISTINCT md5(t)) AS kinds FROM m GROUP BY label) "
-    "SELECT label, members, kinds, CASE WHEN kinds < members THEN 'A' WHEN spread <= 200 THEN 'B' ELSE 'C' END AS tier FROM s",
-)
-def d4_group_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and tier of each group: A if two members are equal, B if lengths are near, else C."""
-    m = V.texts(spark, sf_dir).select("id", F.md5(F.lower("body")).alias("t"), F.length("body").alias("n")).join(grouped(spark, sf_dir), "id")
-    s = m.groupBy("label").agg(F.count(F.lit(1)).alias("members"), (F.max("n") - F.min("n")).alias("spread"), F.countDistinct("t").alias("kinds"))
-    best = F.when(F.col("kinds") < F.col("members"), 1.0).when(F.col("spread") <= 200, 0.8).otherwise(0.0)
-    return s.select("label", "members", "kinds", D.tier(best).alias("tier"))
-
-
-@query(
-    "d6_title_splits",
-    f"WITH {V.ITEMS}, w AS (SELECT brands[1] AS brand, count(*) AS n, count(DISTINCT title) AS titles, avg(price) AS price FROM items GROUP BY 1), m AS (SELECT brands[1] AS brand, title, count(*) AS c FROM items GROUP BY ALL) "
-    "SELECT w.brand, n, titles > n / 2 AS split, (SELECT title FROM m WHERE m.brand = w.brand ORDER BY c DESC, title LIMIT 1) AS name FROM w",
-)
-def d6_title_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a group should be split, and its commonest title (ties: the first)."""
-    per = V.items(spark, sf_dir).groupBy(F.col("brands")[0].alias("brand"), "title").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("brand").agg(F.sum("c").alias("n"), (F.count(F.lit(1)) > F.sum("c") / 2).alias("split"), F.min_by("title", F.struct(-F.col("c"), "title")).alias("name"))
-
-
-@query(
-    "a30_band_histogram",
-    "SELECT band, count(*) AS n FROM (SELECT CASE WHEN max(l_discount) >= 0.095 THEN 'exact' WHEN max(l_discount) >= 0.085 THEN 'high' WHEN max(l_discount) >= 0.07 THEN 'medium' ELSE 'low' END AS band FROM lineitem GROUP BY l_orderkey) GROUP BY band",
-)
-def a30_band_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups by the band of their best pair."""
-    best = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.max("l_discount") * 10).alias("s"))
-    return best.groupBy(T.similarity_band(F.round("s", 9)).alias("band")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "d10_resolved_groups",
     f"{GROUPS} SELECT DISTINCT label, CASE WHEN label IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'archived' WHEN label IN (SELECT item_id FROM benchmark) THEN 'dismissed' ELSE 'none' END AS state FROM groups",
