@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, documents, small, written
+from marlstone.llm.common import bounded_batches, documents, written
 
 #: Results of an item.
 TOP = 50
@@ -60,7 +60,7 @@ def _blocks(sizes: np.ndarray) -> Iterator[np.ndarray]:
 def index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The signatures of all documents, written to the shared folder; nothing is shuffled.
 
-    Rows are of two kinds. A block has the ids of some documents of like size, their numbers of
+    Rows are of two kinds. A block has the ids and ``texts`` of some documents of like size, their numbers of
     terms ``n``, the frequencies ``top`` of their commonest terms, and ``slices``: for each of ``rows``
     bits of a signature a bitmap with one place a document. A list has the different terms
     of some documents in ``terms`` and how many of these hold each in ``df``. Documents without terms (null
@@ -94,21 +94,21 @@ def index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                 for level, least in enumerate(LEVELS):
                     held = mine & (tf >= least)
                     bits[probes(hashes[code[held]], level, rows), column[doc[held]]] = True
-                yield _row(block=[batch.column(0).take(pa.array(chosen)), pa.array(n[chosen]), pa.array(top[chosen])], rows=rows, slices=np.packbits(bits, axis=1).tobytes())
+                yield _row(block=[*(c.take(pa.array(chosen)) for c in batch.columns), pa.array(n[chosen]), pa.array(top[chosen])], rows=rows, slices=np.packbits(bits, axis=1).tobytes())
 
     def _row(block=None, rows=None, slices=None, terms=None) -> pa.RecordBatch:
         one = lambda values, of: pa.ListArray.from_arrays([0, len(values)], values) if values is not None else pa.nulls(1, pa.list_(of))
-        ids, n, top = block or (None, None, None)
+        ids, texts, n, top = block or (None, None, None, None)
         words, df = terms or (None, None)
-        arrays = [one(ids, arrow_id), one(n, pa.int64()), one(top, pa.int64()), pa.array([rows], pa.int32()), pa.array([slices], pa.binary()), one(words, pa.binary()), one(df, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["ids", "n", "top", "rows", "slices", "terms", "df"])
+        arrays = [one(ids, arrow_id), one(texts, pa.string()), one(n, pa.int64()), one(top, pa.int64()), pa.array([rows], pa.int32()), pa.array([slices], pa.binary()), one(words, pa.binary()), one(df, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["ids", "texts", "n", "top", "rows", "slices", "terms", "df"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     pairs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = pairs.schema["id"].dataType
     arrow_id = to_arrow_type(kind)
-    return written(bounded_batches(pairs).mapInArrow(run, f"ids array<{kind.simpleString()}>, n array<long>, top array<long>, rows int, slices binary, terms array<binary>, df array<long>"))
+    return written(bounded_batches(pairs).mapInArrow(run, f"ids array<{kind.simpleString()}>, texts array<string>, n array<long>, top array<long>, rows int, slices binary, terms array<binary>, df array<long>"))
 
 
 class Wanted:
@@ -171,35 +171,29 @@ def upper_bounds(w: Wanted, n: np.ndarray, top: np.ndarray, rows: int, slices: b
         q = stop
 
 
-def _bounded(blocks: DataFrame, wanted, keep) -> DataFrame:
-    """(q, id, bound) of the documents that ``keep`` (a generator fed with tables of bounds) lets through."""
+def _tables(batches: Iterator[pa.RecordBatch], w: Wanted) -> Iterator[tuple]:
+    """(block, first item, table of bounds) of the blocks in ``batches``, whose first columns are those of _BOUNDS."""
+    for batch in batches:
+        for block in zip(*batch.columns, strict=True):
+            n, top = (x.values.to_numpy(zero_copy_only=False) for x in block[1:3])
+            for q, bounds in upper_bounds(w, n, top, block[3].as_py(), block[4].as_buffer()):
+                yield block, q, bounds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables() -> Iterator[tuple]:
-            for batch in batches:
-                for ids, n, top, rows, slices in zip(*batch.columns, strict=True):
-                    n, top = (x.values.to_numpy(zero_copy_only=False) for x in (n, top))
-                    for q, bounds in upper_bounds(wanted.value, n, top, rows.as_py(), slices.as_buffer()):
-                        yield q, bounds, ids.values
-
-        for q, ids, bound in keep(tables()):
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), ids, pa.array(bound, pa.int64())], ["q", "id", "bound"])
 
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    return bounded_batches(blocks.select("ids", "n", "top", "rows", "slices")).mapInArrow(run, f"q int, id {kind}, bound long")
+_BOUNDS = ["ids", "n", "top", "rows", "slices"]
 
 
-def _best(top: int):
-    """The ``top`` largest bounds of each item among the blocks of a task."""
+def largest_bounds(blocks: DataFrame, wanted, top: int) -> DataFrame:
+    """(q, id, bound) of the ``top`` documents of largest bounds for each item, among the blocks of each task."""
 
-    def keep(tables: Iterator[tuple]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
-        for first, bounds, ids in tables:
+        for block, first, bounds in _tables(batches, wanted.value):
             k = min(top, bounds.shape[1])
             at = np.argpartition(-bounds, k - 1, axis=1)[:, :k]
             for q in np.flatnonzero(bounds.max(axis=1) > 0).tolist():
                 chosen = at[q][bounds[q, at[q]] > 0]
-                new, value = ids.take(pa.array(chosen)), bounds[q, chosen]
+                new, value = block[0].values.take(pa.array(chosen)), bounds[q, chosen]
                 if first + q in held:
                     old, was = held[first + q]
                     if len(was) >= top and value.max() <= was.min():
@@ -210,43 +204,60 @@ def _best(top: int):
                         new, value = new.take(pa.array(best)), value[best]
                 held[first + q] = new, value
         for q, (ids, value) in held.items():
-            yield np.full(len(value), q), ids, value
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), q), pa.int32()), ids, pa.array(value, pa.int64())], ["q", "id", "bound"])
+
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    return bounded_batches(blocks.select(_BOUNDS)).mapInArrow(run, f"q int, id {kind}, bound long")
 
-    return keep
 
+def scores_of(w: Wanted, text: bytes, items: list[int]) -> Iterator[tuple[int, int]]:
+    """(item, score) of those of the items for which the text scores more than 0."""
+    own = terms_of(text)
+    tf, n = Counter(own), len(own)
+    for q in items:
+        total = sum(x * w.share(tf[t], n) for t, x in w.items[q] if t in tf)
+        if total:
+            yield q, total
 
-def _reaching(least: np.ndarray):
-    """The documents whose bounds reach what an item's results must score."""
 
-    def keep(tables: Iterator[tuple]) -> Iterator[tuple]:
-        for first, bounds, ids in tables:
+def scored_in_place(blocks: DataFrame, wanted, least: np.ndarray) -> DataFrame:
+    """(q, id, score) of all documents whose bounds reach ``least`` of an item, from the texts that lie beside the signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emitted(block, asked: dict[int, list[int]]) -> pa.RecordBatch:
+            out = [(q, d, score) for d, items in asked.items() for q, score in scores_of(wanted.value, block[5].values[d].as_buffer().to_pybytes(), items)]
+            ids = block[0].values.take(pa.array([d for _, d, _ in out], pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([q for q, _, _ in out], pa.int32()), ids, pa.array([x for _, _, x in out], pa.int64())], ["q", "id", "score"])
+
+        now, asked = None, {}
+        for block, first, bounds in _tables(batches, wanted.value):
+            if block is not now and asked:
+                yield emitted(now, asked)
+                asked = {}
+            now = block
             q, d = np.nonzero(bounds >= least[first : first + len(bounds), None])
-            if len(q):
-                yield q + first, ids.take(pa.array(d)), bounds[q, d]
+            for item, document in zip((q + first).tolist(), d.tolist(), strict=True):
+                asked.setdefault(document, []).append(item)
+        if asked:
+            yield emitted(now, asked)
 
-    return keep
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    return bounded_batches(blocks.select(*_BOUNDS, "texts")).mapInArrow(run, f"q int, id {kind}, score long")
 
 
 def exact_scores(docs: DataFrame, pairs: DataFrame, wanted, id_col: str, text: str) -> DataFrame:
-    """(q, id, score) of the pairs (q, id), from the whole texts; scores of 0 are left out."""
+    """(q, id, score) of the pairs (q, id), of which there are TOP an item at most, from the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = wanted.value
         for batch in batches:
-            q, at, score = [], [], []
-            for k in range(batch.num_rows):
-                own = terms_of(batch.column(1)[k].as_buffer().to_pybytes()) if batch.column(1)[k].is_valid else []
-                tf, n = Counter(own), len(own)
-                for item in batch.column(2)[k].as_py():
-                    total = sum(x * w.share(tf[t], n) for t, x in w.items[item] if t in tf)
-                    if total:
-                        q.append(item), at.append(k), score.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(score, pa.int64())], ["q", "id", "score"])
-
-    asked = written(pairs.groupBy(F.col("id").alias("asked")).agg(F.collect_set("q").alias("qs")))  # at most ITEMS numbers an id
+            told = [(k, *x) for k in range(batch.num_rows) for x in scores_of(wanted.value, (batch.column(1)[k].as_py() or "").encode(), batch.column(2)[k].as_py())]
+            ids = batch.column(0).take(pa.array([k for k, _, _ in told], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([q for _, q, _ in told], pa.int32()), ids, pa.array([x for _, _, x in told], pa.int64())], ["q", "id", "score"])
+
+    asked = F.broadcast(pairs.groupBy(F.col("id").alias("asked")).agg(F.collect_set("q").alias("qs")))  # ITEMS * TOP rows at most
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.join(small(asked), F.col("id").eqNullSafe(F.col("asked"))).select("id", "text", "qs")
+    found = rows.join(asked, F.col("id").eqNullSafe(F.col("asked"))).select("id", "text", "qs")
     return bounded_batches(found).mapInArrow(run, f"q int, id {kind}, score long")
 
 
@@ -266,7 +277,7 @@ def _search(docs: DataFrame, held: DataFrame, items: list[tuple], n_docs: int, n
     wanted = spark.sparkContext.broadcast(w)
     blocks = held.filter("slices IS NOT NULL")
     # 1. the documents with the largest bounds: their scores are what a result must reach
-    first = _bounded(blocks, wanted, _best(top))
+    first = largest_bounds(blocks, wanted, top)
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound")))
     seeds = first.withColumn("nth", nth).filter(F.col("nth") <= top).select("q", "id")
     seen = ranked(exact_scores(docs, seeds, wanted, id_col, text), top).groupBy("q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -275,8 +286,7 @@ def _search(docs: DataFrame, held: DataFrame, items: list[tuple], n_docs: int, n
         if r.n == top:
             least[r.q] = r.least
     # 2. every document that isn't provably below
-    reaching = _bounded(blocks, wanted, _reaching(least)).select("q", "id")
-    return ranked(exact_scores(docs, reaching, wanted, id_col, text), top).select("q", "rank", "id", "score")
+    return ranked(scored_in_place(blocks, wanted, least), top).select("q", "rank", "id", "score")
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", top: int = TOP) -> DataFrame:
@@ -289,9 +299,9 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
 
     Documents are indexed once as bit-sliced signatures. They give an upper bound for each
     item and document; the scores of the documents with the largest bounds set what a result must
-    reach, and all documents whose bounds reach it are scored exactly from their whole texts, so
-    results are exact. Items are searched for in groups of at most ITEMS, each with a scan of
-    the index; what is broadcast is a group's terms, and the pairs to be scored if they are few.
+    reach, and all documents whose bounds reach it are scored exactly from their whole texts, which
+    the index holds beside the signatures, so results are exact and no text is shuffled. Items are searched for in groups of at most ITEMS, each with a scan of
+    the index; what is broadcast is a group's terms and ``top`` documents for each of its items.
     """
     held = index(docs, id_col, text)
     total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
