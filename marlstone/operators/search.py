@@ -157,11 +157,18 @@ def search(
         scored = scored.toDF("id", "title", "alike", "m", "told")
         near = F.lit(False) if rule else F.col("alike") >= FUZZY
         scored = written(scored.select("id", "title", "alike", "told", "m.hits", "m.score").filter((F.col("hits") > 0) | near))
-        strict = scored.filter((F.col("hits") == len(groups)) | near)
-        found = strict if rule or strict.limit(ENOUGH).count() == ENOUGH else scored
-        ranked = found.select("id", "title", F.greatest("score", "alike", "told").alias("rank"))
-    else:
-        ranked = held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.lit(0.0).alias("rank"))
+        return page_of(scored, len(groups), request, rule is not None)
+    return page_of_ranked(held.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.lit(0.0).alias("rank")), request)
+
+
+def page_of(scored: DataFrame, n_groups: int, request: Request, strict_only: bool = False) -> DataFrame:
+    """The page of all matches (id, title, alike, told, hits, score): strict ones, or any if these are fewer than ENOUGH."""
+    strict = scored.filter(F.col("hits") == n_groups) if strict_only else scored.filter((F.col("hits") == n_groups) | (F.col("alike") >= FUZZY))
+    found = strict if strict_only or strict.limit(ENOUGH).count() == ENOUGH else scored
+    return page_of_ranked(found.select("id", "title", F.greatest("score", "alike", "told").alias("rank")), request)
+
+
+def page_of_ranked(ranked: DataFrame, request: Request) -> DataFrame:
     keys = {"title": []}.get(request.order, [F.col("rank").desc()])
     total = ranked.count()
     return ranked.withColumn("total", F.lit(total).cast("long")).orderBy(*keys, "title", "id").offset(request.offset).limit(request.size)

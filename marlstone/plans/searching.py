@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import facets, hierarchy
 from marlstone.operators import search as S
+from marlstone.operators import search_index as X
 from marlstone.operators.requests import request_of
 from marlstone.plans import views as V
 from marlstone.plans.catalog import query
-from marlstone.plans.scratch import small, written
+from marlstone.plans.scratch import scratch_folder, small, written
 from marlstone.sources.tables import table
 
 SYNONYMS = [("thble", ["thsh", "thre thnt"], "bidirectional"), ("ernt", ["erst"], "oneway"), ("thng", ["thing"], "typo_correction")]
@@ -82,6 +83,40 @@ def t6_phrase_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "title", F.round("rank", 6).alias("rank"), "total")
 
 
+def _indexed(spark: SparkSession, rows: DataFrame, sections: dict, facets=(), summary: str | None = None) -> str:
+    folder = scratch_folder(spark)
+    X.build(rows, "id", "title", sections, folder, facets, summary)
+    return folder
+
+
+@query("t1_index_search", _search_sql("the thble ernt", SYNONYMS, "lang IN ('en', 'de')"))
+def t1_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship search from a stored index of all documents, without reading their texts again."""
+    rows = V.texts(spark, sf_dir).withColumn("langs", F.array("lang"))
+    folder = _indexed(spark, rows, {"A": F.col("title"), "D": F.col("body")}, ["langs"])
+    found = X.search(spark, folder, S.Request("the thble ernt", {"langs": ["en", "de"]}), SYNONYMS)
+    return found.select("id", "title", F.round("rank", 6).alias("rank"), "total")
+
+
+@query("t8_index_relaxed", _search_sql("thble erst thzzqx thti", (), "source IS NOT NULL"))
+def t8_index_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search from the index whose words never meet, so that any of them will do."""
+    folder = _indexed(spark, V.texts(spark, sf_dir), {"A": F.col("title"), "D": F.col("body")}, ["source"])
+    found = X.search(spark, folder, S.Request("thble erst thzzqx thti"), (), F.col("source").isNotNull())
+    return found.select("id", "title", F.round("rank", 6).alias("rank"), "total")
+
+
+@query(
+    "t3_index_top",
+    f"WITH {V.TEXTS}, p AS (SELECT id, word, max(weight) AS weight FROM (SELECT id, unnest({V.words_sql('title')}) AS word, 1.0::DOUBLE AS weight FROM texts UNION ALL SELECT id, unnest({V.words_sql('body')}), 0.1::DOUBLE FROM texts) WHERE word IN ('thble', 'erst', 'tion') GROUP BY id, word) "
+    "SELECT id, round(sum(weight), 6) AS score FROM p GROUP BY id HAVING count(*) = 3 ORDER BY round(sum(weight), 6) DESC, id LIMIT 30",
+)
+def t3_index_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty heaviest matches of three words; blocks of the index that can't hold any aren't read."""
+    folder = _indexed(spark, V.texts(spark, sf_dir), {"A": F.col("title"), "D": F.col("body")})
+    return X.top_matches(spark, folder, "thble erst tion", 30).select("id", F.round("score", 6).alias("score"))
+
+
 #: The search over four sections, whose summary is the second line, with the summary's leg of the rank.
 FOUR_SECTIONS = (
     SEARCH.replace("text AS body", "split_part(text, chr(10), 2) AS summary, text AS body")
@@ -111,6 +146,14 @@ def t9_summary_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "title", F.round("rank", 6).alias("rank"), "total")
 
 
+@query("t9_index_rank", _sections_sql("thble src3 erst"))
+def t9_index_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over four sections with the summary's leg, from a stored index."""
+    rows, sections = _sections(spark, sf_dir)
+    folder = _indexed(spark, rows, sections, (), "summary")
+    return X.search(spark, folder, S.Request("thble src3 erst"), summary=True).select("id", "title", F.round("rank", 6).alias("rank"), "total")
+
+
 @query("p22_typed_query", _sections_sql("thble erst", "regexp_extract(source, '([0-9]+)', 1) IN ('2', '3', '4')"))
 def p22_typed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A typed query: fillers go, and its range of levels is a filter."""
