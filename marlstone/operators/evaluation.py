@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +43,56 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFram
     return out.select("query", (F.col("found") / F.col("clusters")).alias("recall_at_k"), (F.col("good") / k).alias("precision_at_k"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
-def bootstrap_mean(values: DataFrame, value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """(mean, low, high): the mean and its 95 % interval, by Poisson resampling.
+#: Rows of a block of a bootstrap, and blocks at most; beyond that, blocks grow.
+BLOCK_ROWS, BLOCKS = 1 << 16, 1 << 16
 
-    Each row counts k times in a round, k Poisson with mean 1 from a hash of row and round; so
-    a round is a partial sum and nothing but ``rounds`` sums is shuffled.
+
+def block_draws(sizes: np.ndarray, block: int, rounds: int, seed: int) -> np.ndarray:
+    """How many of the draws of each round fall on a block, when as many are drawn as there are rows in all blocks.
+
+    The draws of a round are split in halves of the blocks by binomials, down to the block; the split of a
+    node depends on the seed and the node alone, so all blocks see the same split and the draws of all add up.
+    """
+    low, high = 0, len(sizes)
+    border = np.r_[0, np.cumsum(sizes)]
+    draws = np.full(rounds, border[-1], np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        whole, left = border[high] - border[low], border[mid] - border[low]
+        share = left / whole if whole else 0.0
+        first = np.random.Generator(np.random.PCG64([seed, low, high])).binomial(draws, share)
+        draws, low, high = (first, low, mid) if block < mid else (draws - first, mid, high)
+    return draws
+
+
+def bootstrap_sums(values: DataFrame, value: str, rounds: int, seed: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """((round, total) sums of ``rounds`` resamples with replacement, number of rows resampled).
+
+    Rows (id, ``value``) are dealt into blocks by the hash of their id; each block draws its part of every round
+    and sends a sum a round, so what is shuffled doesn't grow with draws. Null values aren't rows.
     """
-    u = F.pmod(F.xxhash64("id", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582]
-    times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    each = values.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("k", times)
-    means = each.groupBy("round").agg((F.sum(F.col("k") * F.col(value)) / F.sum("k")).alias("m"))
+    held = values.select("id", F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    rows = held.count()
+    n_blocks = min(BLOCKS, rows // block_rows + 1)
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    sizes = np.zeros(n_blocks, np.int64)
+    for r in held.groupBy("block").count().collect():  # BLOCKS rows at most
+        sizes[r.block] = r["count"]
+
+    def draw(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["id", "v"], kind="stable")
+        block, v = int(own["block"].iloc[0]), own["v"].to_numpy()
+        rng = np.random.Generator(np.random.PCG64([seed, len(sizes), block + len(sizes) + 1]))
+        return pd.DataFrame({"round": np.arange(rounds), "total": [float(v[rng.integers(0, len(v), k)].sum()) for k in block_draws(sizes, block, rounds, seed)]})
+
+    parts = held.groupBy("block").applyInPandas(draw, "round int, total double")
+    return parts.groupBy("round").agg(F.sum("total").alias("total")), rows
+
+
+def bootstrap_mean(values: DataFrame, value: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
+    """(mean, low, high): the mean of ``rounds`` resamples with replacement and their 95 % interval; an empty table has nulls."""
+    sums, rows = bootstrap_sums(values, value, rounds, seed)
+    means = sums.select((F.col("total") / F.lit(max(rows, 1))).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
 

@@ -229,10 +229,10 @@ def a26_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.index_percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p90": 0.9}, nearest=True).select("event_type", "p50", "p90")
 
 
-@query("a31_hash_spread", "SELECT digest, n, high - low AS spread FROM (SELECT sha256(lower(regexp_replace(substr(title, 1, 12), '[^a-zA-Z]', '', 'g'))) AS digest, count(*) AS n, min(length(body)) AS low, max(length(body)) AS high FROM (SELECT split_part(text, chr(10), 1) AS title, text AS body FROM documents) GROUP BY 1) WHERE n > 1 AND high - low > 500 ORDER BY spread DESC, digest LIMIT 10")
+@query("a31_hash_spread", "SELECT digest, n, high - low AS spread FROM (SELECT sha256(lower(regexp_replace(title, '[^a-zA-Z]', '', 'g'))) AS digest, count(*) AS n, min(length(body)) AS low, max(length(body)) AS high FROM (SELECT split_part(text, chr(10), 1) AS title, text AS body FROM documents) GROUP BY 1) WHERE n > 1 AND high - low > 500 ORDER BY spread DESC, digest LIMIT 10")
 def a31_hash_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten hash groups whose members' lengths differ most; the hash is of a title's first letters."""
-    key = F.sha2(F.lower(F.regexp_replace(F.substring("title", 1, 12), "[^a-zA-Z]", "")), 256)
+    """The ten hash groups whose members' lengths differ most; the hash is of a title's letters."""
+    key = F.sha2(F.lower(F.regexp_replace("title", "[^a-zA-Z]", "")), 256)
     g = V.texts(spark, sf_dir).groupBy(key.alias("digest")).agg(F.count(F.lit(1)).alias("n"), (F.max(F.length("body")) - F.min(F.length("body"))).alias("spread"))
     return g.filter("n > 1 AND spread > 500").orderBy(F.desc("spread"), "digest").limit(10)
 
@@ -264,6 +264,6 @@ def a37_content_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a34_bootstrap")
 def a34_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean order price with its 95 % interval; the draws hash row and round, so no SQL has them."""
+    """Mean order price with its 95 % interval from a thousand resamples; no SQL has the draws."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
     return E.bootstrap_mean(o, "value")

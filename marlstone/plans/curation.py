@@ -127,11 +127,11 @@ def x4_restore_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x6_hash_audit",
-    "WITH h AS (SELECT doc_id, substr(md5(lang || substr(text, 1, 40)), 1, 8) AS old, substr(md5(text), 1, 8) AS new FROM documents) SELECT 'resolved' AS kind, count(*) AS n FROM (SELECT old FROM h GROUP BY old HAVING count(DISTINCT new) > 1) UNION ALL SELECT 'new', count(*) FROM (SELECT new FROM h GROUP BY new HAVING count(DISTINCT old) > 1)",
+    "WITH h AS (SELECT doc_id, md5(lower(regexp_replace(text, '[^a-zA-Z]', '', 'g'))) AS old, md5(lang || text) AS new FROM documents) SELECT 'resolved' AS kind, count(*) AS n FROM (SELECT old FROM h GROUP BY old HAVING count(DISTINCT new) > 1) UNION ALL SELECT 'new', count(*) FROM (SELECT new FROM h GROUP BY new HAVING count(DISTINCT old) > 1)",
 )
 def x6_hash_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups that a new hash splits, and groups that it makes."""
-    h = table(spark, sf_dir, "documents").select(F.substring(F.md5(F.concat("lang", F.substring("text", 1, 40))), 1, 8).alias("old"), F.substring(F.md5("text"), 1, 8).alias("new"))
+    """Groups that a new hash of text and language splits, and groups that it makes of those of a hash of letters; whole texts."""
+    h = table(spark, sf_dir, "documents").select(F.md5(F.lower(F.regexp_replace("text", "[^a-zA-Z]", ""))).alias("old"), F.md5(F.concat("lang", "text")).alias("new"))
     count = lambda by, other, kind: h.groupBy(by).agg(F.countDistinct(other).alias("k")).filter("k > 1").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
     return count("old", "new", "resolved").union(count("new", "old", "new"))
 

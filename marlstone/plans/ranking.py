@@ -126,17 +126,21 @@ def m3_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "m4_layered_sample",
-    f"WITH {V.ITEMS}, r AS (SELECT * FROM items WHERE len(tags) > 0), "
+    f"WITH RECURSIVE {V.ITEMS}, r AS (SELECT * FROM items WHERE len(tags) > 0), "
     "k AS (SELECT id, kinds[1] AS kind, row_number() OVER (PARTITION BY kinds[1] ORDER BY md5(id || ':1'), id) AS nth FROM r WHERE size > 47), "
-    "hard AS (SELECT id FROM k WHERE nth <= 60 ORDER BY nth, kind LIMIT 20), each AS (SELECT id, unnest(tags) AS v FROM r), "
-    "have AS (SELECT v, count(*) AS h FROM each WHERE id IN (SELECT id FROM hard) GROUP BY v), "
-    "rest AS (SELECT id, v, row_number() OVER (PARTITION BY v ORDER BY md5(id || ':2'), id) AS nth FROM each WHERE id NOT IN (SELECT id FROM hard)), "
-    "cover AS (SELECT DISTINCT id FROM rest LEFT JOIN have USING (v) WHERE nth <= 2 AND nth + coalesce(h, 0) <= 2), "
+    "hard AS (SELECT id FROM k WHERE nth <= 60 ORDER BY nth, kind LIMIT 20), have AS (SELECT list(v) AS vs FROM (SELECT unnest(list_distinct(tags)) AS v FROM r WHERE id IN (SELECT id FROM hard))), "
+    "rest AS (SELECT id, list_distinct(tags) AS vs, md5(id || ':2') AS draw FROM r WHERE id NOT IN (SELECT id FROM hard)), "
+    "pick AS (SELECT 0 AS step, 0 AS id, 0 AS gain, '' AS draw, coalesce((SELECT vs FROM have), []) AS held, []::BIGINT[] AS ids UNION ALL "
+    "SELECT step + 1, b.id, b.gain, b.draw, list_concat(held, b.vs), list_append(ids, b.id) FROM (SELECT p.step, p.held, p.ids, "
+    "arg_min(struct_pack(id := rest.id, vs := rest.vs, draw := rest.draw, gain := len(list_filter(rest.vs, lambda v: len(list_filter(p.held, lambda x: x = v)) < 2))), "
+    "struct_pack(g := -len(list_filter(rest.vs, lambda v: len(list_filter(p.held, lambda x: x = v)) < 2)), d := rest.draw, i := rest.id)) AS b "
+    "FROM pick p JOIN rest ON NOT list_contains(p.ids, rest.id) GROUP BY ALL) WHERE b.gain > 0), "
+    "cover AS (SELECT id FROM pick WHERE step > 0 ORDER BY gain DESC, draw, id LIMIT (SELECT 60 - count(*) FROM hard)), "
     "taken AS (SELECT id, 'hard' AS layer FROM hard UNION ALL SELECT id, 'cover' FROM cover), left_over AS (SELECT id, size FROM r WHERE id NOT IN (SELECT id FROM taken)) "
     "SELECT id, layer FROM taken UNION ALL SELECT id, 'fill' FROM " + _stratified_sql("left_over", "id", "size", "(SELECT greatest(0, 60 - count(*)) FROM taken)", 3),
 )
 def m4_layered_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard cases in turn, then items until each value is there twice, then a stratified fill (M4)."""
+    """Hard cases in turn, then a greedy cover until each value is there twice, then a stratified fill (M4)."""
     return sampling.layered(V.items(spark, sf_dir).filter(F.size("tags") > 0), "id", "tags", F.when(F.col("size") > 47, F.col("kinds")[0]), "size", 60)
 
 
