@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.scratch import written
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
@@ -132,3 +134,24 @@ def index_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, fl
     columns = [F.min(F.when(F.col("upto") > i, F.col(value))).alias(name) for name, i in at.items()]
     mean = F.round(F.sum(F.col("c") * F.col(value)) / F.sum("c"), 6)
     return placed.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), mean.alias("mean"), *columns)
+
+
+def field_gates(predicted: DataFrame, baseline: DataFrame, truth: DataFrame, macro: float = 0.7, recall: float = 0.5, support: int = 2) -> DataFrame:
+    """(gate, field, value, measured, floor) of what the sets (field, id, value) miss against the truth.
+
+    ``baseline``: a field whose pooled F1 is below that of the baseline's, or is null where that isn't. ``macro``: the mean F1
+    of the fields is below its floor. ``recall``: a value of ``support`` or more true items is below its floor.
+    ``singleton``: a value of one true item that was missed, which is told and gates nothing (no floor).
+    """
+    keyed = lambda df: df.select("id", F.struct("field", F.col("value")).alias("value"))
+    own = written(label_metrics(keyed(predicted), keyed(truth)).select(F.col("value.field").alias("field"), F.col("value.value").alias("value"), "tp", "fp", "fn", "recall"))
+    old = label_metrics(keyed(baseline), keyed(truth)).select(F.col("value.field").alias("field"), "tp", "fp", "fn")
+    pooled = lambda df, name: df.groupBy("field").agg(_ratio(2 * F.sum("tp"), F.sum(2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias(name))
+    fields = written(pooled(own, "f1").join(pooled(old, "base"), "field", "full"))
+    none = F.lit(None).cast("string")
+    lost = fields.filter(F.col("base").isNotNull() & (F.col("f1").isNull() | (F.col("f1") < F.col("base")))).select(F.lit("baseline").alias("gate"), "field", none.alias("value"), F.col("f1").alias("measured"), F.col("base").alias("floor"))
+    mean = fields.agg(F.avg("f1").alias("m")).filter(F.col("m").isNull() | (F.col("m") < macro)).select(F.lit("macro"), none, none, "m", F.lit(macro))
+    true = F.col("tp") + F.col("fn")
+    low = own.filter((true >= support) & (F.col("recall") < recall)).select(F.lit("recall"), "field", "value", "recall", F.lit(recall))
+    missed = own.filter((true == 1) & (F.col("tp") == 0)).select(F.lit("singleton"), "field", "value", "recall", F.lit(None).cast("double"))
+    return lost.union(mean).union(low).union(missed)

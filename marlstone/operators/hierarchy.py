@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,3 +63,27 @@ def leaves(tags: DataFrame, chain: DataFrame) -> DataFrame:
     """(id, key) without the keys that lie above another key of the same item."""
     above = tags.join(chain.filter("steps > 0"), "key").select("id", F.col("ancestor").alias("key")).distinct()
     return tags.join(above, ["id", "key"], "left_anti")
+
+
+def nested_options(nodes: DataFrame, depth: int) -> DataFrame:
+    """(key, options) of the roots among (key, label, parent, n): each a JSON object with key, label, n and children, by n and key.
+
+    Rows are folded into their parents' rows a level at a time from the deepest up, ``depth`` levels below
+    the roots; a node deeper than that, or whose parents lead to no root, is in no tree. A parent's
+    children are one row, so trees are those of a vocabulary of options, not of all items.
+    """
+    level = nodes.filter("parent IS NULL").select("key", F.lit(0).alias("depth"))
+    placed = [level]
+    for d in range(1, depth + 1):
+        level = nodes.join(level.select(F.col("key").alias("parent")), "parent").select("key", F.lit(d).alias("depth"))
+        placed.append(level)
+    rows = written(reduce(DataFrame.union, placed).join(nodes, "key"))
+    below = None
+    for d in range(depth, -1, -1):
+        own = rows.filter(F.col("depth") == d).withColumn("self", F.to_json(F.struct("key", "label", "n")))
+        own = own.withColumn("children", F.lit("")) if below is None else own.join(below, "key", "left")
+        own = own.select("key", "parent", "n", F.concat(F.expr("substring(self, 1, length(self) - 1)"), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}")).alias("options"))
+        if d == 0:
+            return own.select("key", "options")
+        ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key", "options")))
+        below = own.groupBy(F.col("parent").alias("key")).agg(F.array_join(F.transform(ordered, lambda x: x["options"]), ",").alias("children"))

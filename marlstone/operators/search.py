@@ -177,3 +177,31 @@ def page_of_ranked(ranked: DataFrame, request: Request) -> DataFrame:
 def prefix_terms(query: str) -> list[str]:
     """The words of a query as prefixes; one of more than four letters that ends in s loses it."""
     return list(dict.fromkeys(w[:-1] if len(w) > 4 and w.endswith("s") else w for w in query.lower().split()))
+
+
+#: Words that are suggested for a query without results.
+SUGGESTED = 5
+
+
+def suggestions(query: str, synonyms: Sequence[tuple[str, Sequence[str], str]] = ()) -> list[str]:
+    """The first words that a query without results suggests: its words, their synonyms, and other endings of words of more than four letters."""
+    found: list[str] = []
+    for word in query.lower().split():
+        found.append(word)
+        for term, others, kind in synonyms:
+            if term.lower() == word:
+                found += [o.lower() for o in others]
+        for term, others, kind in synonyms:
+            if kind == "bidirectional" and word in (o.lower() for o in others):
+                found += [term.lower(), *(o.lower() for o in others)]
+        if len(word) > 4:
+            found += [word[:-1], word + "s"]
+    return list(dict.fromkeys(found))[:SUGGESTED]
+
+
+def page_or_suggestions(page: DataFrame, query: str, synonyms: Sequence[tuple[str, Sequence[str], str]] = ()) -> DataFrame:
+    """The rows (id, title, ...) of a page with a null suggestion, or a row a suggestion if the page has none."""
+    words = suggestions(query, synonyms)
+    empty = page.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.explode(F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")).alias("suggestion"))
+    rows = page.select("id", "title", F.lit(None).cast("string").alias("suggestion"))
+    return rows.unionByName(empty, allowMissingColumns=True)

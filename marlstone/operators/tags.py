@@ -71,3 +71,19 @@ def synced(columns: dict[str, Column], stored: Column) -> Column:
     new = F.map_from_arrays(F.array(*[F.lit(k) for k in columns]), F.array(*columns.values()))
     new = F.map_filter(new, lambda _, v: v.isNotNull())
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
+def shipped(floor: Column, model: Column, vocabulary: list[str], locked: list[str]) -> Column:
+    """The values of the floor, then those of the model that are in the vocabulary and not locked, each once, in order.
+
+    A locked value is there only if the floor has it. Null sets are empty.
+    """
+    none = F.array().cast("array<string>")
+    known = F.array(*[F.lit(v) for v in vocabulary if v not in locked])
+    return F.array_distinct(F.concat(F.coalesce(floor, none), F.filter(F.coalesce(model, none), lambda v: F.array_contains(known, v))))
+
+
+def with_subjects(integration: Column, concepts: Column) -> Column:
+    """The array ``integration`` followed by the keys of the map ``concepts`` that it lacks and whose list isn't empty; null stays null."""
+    filled = F.map_keys(F.map_filter(concepts, lambda _, v: F.coalesce(F.size(v), F.lit(0)) > 0))
+    return F.when(concepts.isNull(), integration).otherwise(F.concat(integration, F.array_except(filled, integration)))
