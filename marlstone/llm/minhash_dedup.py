@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import bounded_batches, documents, small, written
@@ -21,6 +21,8 @@ BANDS, ROWS = 40, 6
 #: Signature numbers that have been compared after each batch, and the posterior probability of a
 #: similarity of 0.8 or more below which a pair is dropped.
 BATCHES, MISS = (32, 64, 128, 240), 1e-6
+#: What rounding may take from a count that is needed.
+EPS = 1e-9
 #: Hash functions are applied to so many shingles at a time.
 STEP = 1 << 16
 
@@ -120,6 +122,37 @@ def verified(pairs: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter("100 * both >= 80 * (nx + ny - both)").select("x", "y")
 
 
+def within_families(kin: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y): the pairs of different labels among the rows (id, n, label, centre) of one centre that may be similar; no other pair is.
+
+    Members of a family are compared by how they differ from its centre c: R of its shingles are
+    missing and others are added. What two members share is |c| - |Rx| - |Ry| and the differences
+    that they share, so similar ones share at least u(x) + u(y) differences, with u = 4 n / 9 + |R| - |c| / 2. Those
+    similar to c have u <= |c| / 18 and one label, so one of a pair has more, and u is never below -|c| / 18. The
+    differences go from rare to frequent, and pairs meet in the prefixes that this leaves, with
+    room enough after the place where they meet.
+    """
+    own, centre = sets.select("id", "grams"), sets.select(F.col("id").alias("centre"), F.col("grams").alias("base"))
+    apart = kin.join(own, "id").join(centre, "centre").select(
+        "id", "centre", "label", (4 * F.col("n") / 9 + F.size(F.array_except("base", "grams")) - F.size("base") / 2).alias("u"), (F.size("base") / 18).alias("step"),
+        F.concat(F.array_except("base", "grams"), F.array_except("grams", "base")).alias("d"),
+    )
+    apart = written(apart.filter(F.size("d") > 0))
+    each = apart.select("id", "centre", "label", "u", "step", F.size("d").alias("size"), F.explode("d").alias("gram"))
+    shared = each.groupBy("centre", "gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    each = written(each.join(shared, ["centre", "gram"]))
+    rank = F.row_number().over(Window.partitionBy("centre", "id").orderBy("df", "gram"))
+    rest = each.groupBy("centre", "id").agg(F.count(F.lit(1)).alias("rest"))
+    # differences of one member alone come before all others, so they only move the places of the rest
+    placed = each.withColumn("rank", rank).join(rest, ["centre", "id"]).withColumn("at", F.col("rank") + F.col("size") - F.col("rest"))
+    far = F.col("u") > F.col("step") + EPS
+    least = F.greatest(F.ceil(F.col("u") + F.when(far, -F.col("step")).otherwise(F.col("step")) - EPS), F.lit(1))
+    placed = written(placed.withColumn("far", far).filter(F.col("at") <= F.col("size") - least + 1).select("centre", "gram", "id", "label", "u", "far", (F.col("size") - F.col("at") + 1).alias("room")))
+    x, y = (placed.select("centre", "gram", *[F.col(c).alias(c + k) for c in ("id", "label", "u", "far", "room")]) for k in ("1", "2"))
+    met = x.filter("far1").join(y, ["centre", "gram"]).filter((F.col("label1") != F.col("label2")) & (~F.col("far2") | (F.col("id1") < F.col("id2"))) & (F.least("room1", "room2") >= F.col("u1") + F.col("u2") - EPS))
+    return met.select(F.col("id1").alias("x"), F.col("id2").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; ids must be integers.
 
@@ -135,10 +168,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     documents are centres: the one in the fullest buckets altogether, and one by a hash of its id.
     Each document is compared with the centre of either kind that it shares most buckets with, so
     a family of near copies joins after comparisons in proportion to its size. Then the pairs of a
-    bucket that still lie in two components are compared, within bands of size. Each compared pair
+    bucket that still lie in two components are compared, within bands of size and if the shingles
+    that more than one of these documents has leave room for a similarity of 0.8. Pairs that were compared
+    with the same centre don't meet by bucket but by their shared differences from it (:func:`within_families`),
+    so a large family of copies too far from their original isn't compared in pairs. Each compared pair
     goes through batches of its signatures, is dropped once its posterior similarity is too
-    low, and links only if the whole sets say so. A bucket whose members are mostly unlike
-    each other costs comparisons in the number of its components times its size.
+    low, and links only if the whole sets say so. What is left to cost comparisons in the square of a
+    group are documents that share buckets and most shingles with many others and yet link with few.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     given = rows.filter("id IS NOT NULL")
@@ -157,7 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     centres = written(famed.groupBy("key").agg(one.alias("c1"), two.alias("c2"))).select("key", F.posexplode(F.array("c1", "c2")).alias("nth", "c"))
     star = posts.join(centres, "key").filter((F.col("id") != F.col("c.id")) & _near_sizes(F.col("n"), F.col("c.n")))
     star = star.groupBy("nth", "id", F.col("c.id").alias("centre")).agg(F.count(F.lit(1)).alias("bands"))
-    star = star.groupBy("nth", "id").agg(F.max_by("centre", F.struct("bands", "centre")).alias("centre"))
+    star = written(star.groupBy("nth", "id").agg(F.max_by("centre", F.struct("bands", "centre")).alias("centre")))
+    family = star.filter("nth = 0").select("id", "centre")
     star = written(star.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct())
     near = components(verified(star, held, reps))
     # 2. the pairs of a bucket between two components
@@ -165,10 +202,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     per = mine.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
     several = per.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     mine = written(mine.join(several.select("key", "main"), "key"))
+    members = written(mine.select("id", "n", "label").distinct())
+    kin = members.join(family, "id")
+    asked = written(members.select("id").union(kin.select("centre")).distinct())
+    sets = written(shingled(reps.join(small(asked, 1_000_000), "id", "left_semi")).dropDuplicates(["id"]))
+    # what two of these documents can have in common: not the shingles that only one of them has
+    grams = sets.join(members.select("id"), "id").select("id", F.explode("grams").alias("gram"))
+    alone = grams.groupBy("gram").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("df")).filter("df = 1").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    mine = mine.join(written(alone), "id", "left").withColumn("room", F.col("n") - F.coalesce("alone", F.lit(0))).filter("5 * room >= 4 * n").join(family, "id", "left")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
-    minor = mine.filter("label <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    other = mine.select("key", band.alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "main")
-    met = minor.join(other, ["key", "band"]).filter(_near_sizes(F.col("nx"), F.col("ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))))
+    minor = mine.filter("label <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("rx"), F.col("centre").alias("cx"), F.col("label").alias("lx"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    other = mine.select("key", band.alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("room").alias("ry"), F.col("centre").alias("cy"), F.col("label").alias("ly"), "main")
+    apart = F.coalesce(F.col("cx") != F.col("cy"), F.lit(True))
+    met = minor.join(other, ["key", "band"]).filter(
+        _near_sizes(F.col("nx"), F.col("ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & (9 * F.least("rx", "ry") >= 4 * (F.col("nx") + F.col("ny"))) & apart
+    )
+    met = met.select("x", "y").union(within_families(kin, sets))
     met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = written(verified(met.join(star, ["x", "y"], "left_anti"), held, reps))
     labelled = lambda c: near.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))

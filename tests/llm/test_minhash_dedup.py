@@ -68,6 +68,25 @@ def test_components_equal_those_of_all_pairs(spark):
     assert run(spark, rows) == told and len({c for _, _, c in told}) < len(rows) - 100
 
 
+def test_pairs_of_a_family_by_their_differences(spark):
+    rnd = random.Random(3)
+    base = rnd.sample(range(10_000), 100)
+    sets = {0: set(base)}
+    for k in range(1, 120):  # far from the centre, some near each other
+        own = set(sets[rnd.randrange(1, k)]) if k > 40 and rnd.random() < 0.5 else set(base)
+        for _ in range(rnd.randint(4, 16)):
+            own.discard(rnd.choice(base))
+            own.add(rnd.randrange(10_000, 10_400))
+        sets[k] = own
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    label = {k: 0 if near(sets[0], v) else k for k, v in sets.items()}
+    kin = spark.createDataFrame([(k, len(v), label[k], 0) for k, v in sets.items() if k], "id long, n int, label long, centre long")
+    held = spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "id long, grams array<bigint>")
+    got = {tuple(sorted((r.x, r.y))) for r in M.within_families(kin, held).collect()}
+    told = {(a, b) for a in sets for b in sets if 0 < a < b and label[a] != label[b] and near(sets[a], sets[b])}
+    assert told <= got and len(told) > 20 and len(got) < 0.3 * 119 * 118 / 2
+
+
 def test_nulls_and_repeated_ids(spark):
     own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
     rows = [(3, own[0]), (5, own[0]), (5, own[1]), (9, own[1] + " more"), (3, own[0]), (5, None), (5, ""), (8, "one"), (7, "ONE"), (20, own[2]), (20, " ")]
