@@ -28,6 +28,8 @@ SIDE = LENGTH - GRAM
 BUCKETS, BUCKET_BYTES, HELD = 1024, 4 << 20, 12 << 20
 #: Documents from which on the records of a key don't meet, but only their windows by their hash; records whose windows are compared at once.
 FREQUENT, COMPARED = 200, 40_000
+#: Rows of one bucket that meet by context or window, from which on they are reduced to those of the smallest documents.
+REDUCED = 400_000
 RECORD = np.dtype([("key", "<u8"), ("id", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("around", "u1", (2 * SIDE,))])
 WINDOW = np.dtype([("window", "<u8"), ("id", "<i8"), ("start", "<u4")])
 SPAN = np.dtype([("id", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -237,22 +239,123 @@ def _received(n: int, blob: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _spans(spans: np.ndarray, buckets: int) -> pa.RecordBatch:
+    return _sent(_dealt(mixed(spans["id"].astype(np.uint64)), buckets), spans, SPANS)
+
+
+def _dealt(values: np.ndarray, buckets: int) -> np.ndarray:
+    return (values % np.uint64(buckets)).astype(np.int32)
+
+
 SENT = "bucket int, kind int, n int, rows binary"
+#: Kinds of rows: records that meet by key, spans, records of frequent keys that meet by context, windows.
+BY_KEY, SPANS, BY_CONTEXT, WINDOWS = range(4)
 
 
-def repeated_spans(reps: DataFrame, levels: Broadcast, buckets: int = BUCKETS) -> DataFrame:
-    """(id, spans): the bytes of (id, text) to remove, as sorted disjoint spans; ids are integers.
+def _matched(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The spans of what meets in a bucket, and the first records of the contexts of frequent keys.
 
-    The second of the ``levels`` tells frequent keys. Their records stay in their task, which
-    sends, of each of their windows, the places in the smallest of its documents; so a passage
-    of most documents is a few rows a task, and rows that differ are dealt by different hashes.
+    What meets by context or window is reduced to the smallest document whenever REDUCED rows
+    are held, so a context of very many documents takes no more memory than a few.
     """
+    now: tuple[int, int] | None = None
+    held: list[np.ndarray] = []
+
+    def reduced() -> Iterator[pa.RecordBatch]:
+        least, spans = (first_of_window if now[1] == WINDOWS else first_of_context)(np.concatenate(held))
+        held[:] = [least]
+        if len(spans):
+            yield _spans(merged(spans), buckets)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        yield from reduced()
+        if now[1] == BY_KEY:
+            spans = repeated_windows(held[0])
+            if len(spans):
+                yield _spans(merged(spans), buckets)
+        elif now[1] == BY_CONTEXT and len(held[0]):
+            yield _sent(np.full(len(held[0]), now[0], np.int32), held[0], BY_CONTEXT)
+
+    size = 0
+    for bucket, kind, n, blob in _rows(batches):
+        if kind == SPANS:
+            columns = [pa.array([x], t) for x, t in zip((bucket, kind, n, blob), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "n", "rows"])
+            continue
+        if (bucket, kind) != now and held:
+            yield from done()
+            held.clear()
+            size = 0
+        now = bucket, kind
+        held.append(_received(n, blob, WINDOW if kind == WINDOWS else RECORD))
+        size += n
+        if size > REDUCED:
+            yield from reduced()
+            size = min(len(held[0]), REDUCED // 2)
+    if held:
+        yield from done()
 
-    def dealt(values: np.ndarray) -> np.ndarray:
-        return (values % np.uint64(buckets)).astype(np.int32)
 
-    def of_ids(spans: np.ndarray) -> pa.RecordBatch:
-        return _sent(dealt(mixed(spans["id"].astype(np.uint64))), spans, 1)
+def _met(sent: DataFrame, buckets: int) -> DataFrame:
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda batches: _matched(batches, buckets), SENT)
+
+
+def spans_by_window(hot: DataFrame, buckets: int) -> DataFrame:
+    """The spans of records of frequent keys, each context's first ones, as rows of :data:`SENT`.
+
+    Only their windows meet, by hash: those that two documents or more may have (by slots, as
+    the keys), of each task the places in the smallest of its documents. So a window of most
+    documents is a few rows, and windows that no other document has are not sent at all.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held: list[np.ndarray] = []
+        for _, _, n, blob in _rows(batches):
+            held.append(_received(n, blob, RECORD))
+            if sum(map(len, held)) >= COMPARED:
+                yield np.concatenate(held)
+                held = []
+        if held:
+            yield np.concatenate(held)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for r in chunks(batches):
+            for low in range(0, len(r), COMPARED):
+                yield windows_of(r[low : low + COMPARED])
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for w in parts(batches):
+            w = w[np.lexsort((w["id"], w["window"]))]
+            yield w["window"][np.r_[True, (w["window"][1:] != w["window"][:-1]) | (w["id"][1:] != w["id"][:-1])]] if len(w) else w["window"]
+
+    n = hot.agg(F.sum("n")).first()[0] or 0
+    shared = slot_levels(hot, keys_of, bits_for(n * (SIDE + 1), 8), (2,))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in parts(batches):
+            windows, spans = first_of_window(w[shared.value.at_least(w["window"], 0)])
+            if len(spans):
+                yield _spans(spans, buckets)
+            if len(windows):
+                yield _sent(_dealt(windows["window"], buckets), windows, WINDOWS)
+
+    found = written(_met(hot.mapInArrow(send, SENT), buckets), "uncompressed")  # rows are compressed already
+    shared.destroy()
+    return found
+
+
+def repeated_spans(reps: DataFrame, levels: Broadcast, buckets: int = BUCKETS) -> DataFrame:
+    """(id, spans): the bytes of (id, text) to remove, as sorted disjoint spans; ids are integers.
+
+    The second of the ``levels`` tells frequent keys. Records of the others meet by key. Those
+    of frequent keys meet by context first, where each context keeps its smallest document's,
+    and then by window (:func:`spans_by_window`).
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -262,17 +365,13 @@ def repeated_spans(reps: DataFrame, levels: Broadcast, buckets: int = BUCKETS) -
             firsts, spans = first_of_context(np.concatenate(held))
             held.clear()
             if len(spans):
-                yield of_ids(merged(spans))
+                yield _spans(merged(spans), buckets)
             frequent = levels.value.at_least(firsts["key"], 1)
-            for own in _by_key(firsts[frequent]):
-                for low in range(0, len(own), COMPARED):
-                    windows, spans = first_of_window(windows_of(own[low : low + COMPARED]))
-                    if len(spans):
-                        yield of_ids(spans)
-                    if len(windows):
-                        yield _sent(dealt(windows["window"]), windows, 2)
-            if not frequent.all():
-                yield _sent(dealt(firsts["key"][~frequent]), firsts[~frequent], 0)
+            hot, rare = firsts[frequent], firsts[~frequent]
+            if len(hot):
+                yield _sent(_dealt(_context(hot), buckets), hot, BY_CONTEXT)
+            if len(rare):
+                yield _sent(_dealt(rare["key"], buckets), rare, BY_KEY)
 
         for ids, texts in slices(batches, 1 << 18):
             held.append(records(ids.to_numpy(zero_copy_only=False), texts, levels.value))
@@ -283,31 +382,6 @@ def repeated_spans(reps: DataFrame, levels: Broadcast, buckets: int = BUCKETS) -
         if held:
             yield from flush()
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if now[1] == 2:
-                _, spans = first_of_window(np.concatenate(held))
-            else:
-                firsts, spans = first_of_context(np.concatenate(held))
-                spans = np.concatenate([spans, repeated_windows(firsts)])
-            if len(spans):
-                yield of_ids(merged(spans))
-
-        for batch in batches:
-            for bucket, kind, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, kind, n, blob), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "n", "rows"])
-                    continue
-                if (bucket, kind) != now and held:
-                    yield from done()
-                    held = []
-                now = bucket, kind
-                held.append(_received(n, blob, WINDOW if kind == 2 else RECORD))
-        if held:
-            yield from done()
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -318,19 +392,21 @@ def repeated_spans(reps: DataFrame, levels: Broadcast, buckets: int = BUCKETS) -
             pairs = pa.StructArray.from_arrays([pa.array(spans[c].astype(np.int64)) for c in ("start", "end")], ["start", "end"])
             return pa.RecordBatch.from_arrays([pa.array(spans["id"][first]), pa.ListArray.from_arrays(edges, pairs)], ["id", "spans"])
 
-        for batch in batches:
-            for bucket, n, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if bucket != now and held:
-                    yield done()
-                    held = []
-                now = bucket
-                held.append(_received(n, blob, SPAN))
+        for bucket, _, n, blob in _rows(batches):
+            if bucket != now and held:
+                yield done()
+                held = []
+            now = bucket
+            held.append(_received(n, blob, SPAN))
         if held:
             yield done()
 
-    sent = bounded_batches(reps).select(F.col("id").cast("long"), "text").mapInArrow(send, SENT).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    found = sent.mapInArrow(match, SENT).repartition("bucket").sortWithinPartitions("bucket")
-    return found.mapInArrow(gather, "id long, spans array<struct<start:long,end:long>>")
+    sent = bounded_batches(reps).select(F.col("id").cast("long"), "text").mapInArrow(send, SENT)
+    found = written(_met(sent, buckets), "uncompressed")
+    spans, hot = found.filter(F.col("kind") == SPANS), found.filter(F.col("kind") == BY_CONTEXT)
+    if not hot.isEmpty():
+        spans = spans.union(spans_by_window(hot, buckets))
+    return spans.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "id long, spans array<struct<start:long,end:long>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,7 +418,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     bytes of another, and a null id is neither smaller nor larger than any. Equal texts are one class: all but those of its
     smallest id go whole, and that one takes part in the search. Buckets grow in number with
     the bytes. What meets in one task is what one bucket holds: the records of keys of fewer
-    than FREQUENT documents, and for the windows of other keys the places of one document a task.
+    than FREQUENT documents, and of other keys the contexts or windows, reduced to their
+    smallest documents as they come.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     classes = written(text_classes(given).filter("id > rep").select("id", "key").distinct())
