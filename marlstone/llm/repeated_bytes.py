@@ -82,7 +82,7 @@ def records(ids: np.ndarray, texts: list[bytes], known: object) -> np.ndarray:
     """Anchors whose key may be in another document, with the bytes around their gram."""
     doc, pos, key, at = anchors(texts)
     if known is not None and len(key):
-        kept = known.at_least(key, 0)
+        kept = known.at_least(mixed(key), 0)
         doc, pos, key, at = doc[kept], pos[kept], key[kept], at[kept]
     out = np.zeros(len(key), RECORD)
     if not len(key):
@@ -366,7 +366,7 @@ def repeated_spans(reps: DataFrame, levels: Broadcast, buckets: int = BUCKETS) -
             held.clear()
             if len(spans):
                 yield _spans(merged(spans), buckets)
-            frequent = levels.value.at_least(firsts["key"], 1)
+            frequent = levels.value.at_least(mixed(firsts["key"]), 1)
             hot, rare = firsts[frequent], firsts[~frequent]
             if len(hot):
                 yield _sent(_dealt(_context(hot), buckets), hot, BY_CONTEXT)
@@ -432,7 +432,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             doc, _, key, _ = anchors(texts)
             order = np.lexsort((key, doc))
             doc, key = doc[order], key[order]
-            yield key[np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]] if len(key) else key
+            # keys are the least of many hashes; mixed again they spread over all slots
+            yield mixed(key[np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]]) if len(key) else key
 
     size = text_bytes(given, "text")
     levels = slot_levels(reps, keys_of, bits_for(size / 15, 8), (2, FREQUENT))
