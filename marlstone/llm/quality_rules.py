@@ -9,6 +9,8 @@ from marlstone.llm.common import SPACE_CLASS, WORD_CLASS, documents, small, word
 
 WINDOW = 5
 RULES = ("base", "symbols", "dup_lines")
+#: Standard deviations above the prior's mean at its upper quartile; of a one-sided bound of 95%.
+QUARTILE, BOUND = 0.6745, 1.645
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,15 +76,17 @@ def rule_failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5, watch_rate: float = 0.05) -> DataFrame:
+def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5) -> DataFrame:
     """One row per host (null is a host): n, shrunk rate per rule, host_ok, and for each rule whether it is watched.
 
     The prior of each rule is a beta distribution fitted by moments to the hosts' failure
     rates, less the variance that sampling alone gives these rates; a host's rate is its
     posterior mean, so that a host with few documents stays near the prior, and hosts that
     differ no more than by chance get one rate. The prior's strength is kept between 1 and a
-    million documents. A host with a rate above ``max_rate`` is bad; one with a rate of
-    ``watch_rate`` or more is watched in that rule.
+    million documents. A host with a rate above ``max_rate`` is bad. It is watched in a rule if
+    it stands out from the other hosts: its rate is above the prior's upper quartile, and the
+    lower bound of its posterior above the prior's mean. So hosts that are alike are not watched,
+    however often the rule fails.
     """
     fails = rule_failures()
     hosts = measured.groupBy(F.col(host).alias("host")).agg(
@@ -97,27 +101,31 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5, watch_r
     strength = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / v - 1))).otherwise(F.lit(1e6))
     prior = prior.select("rule", "m", strength.alias("k"))
     shrunk = long.join(F.broadcast(prior), "rule").withColumn("rate", (F.col("fails") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k")))
-    own = {r: F.max(F.when(F.col("rule") == r, F.col("rate"))) for r in fails}
+    p, m, k = F.col("rate"), F.col("m"), F.col("k")
+    apart = (p - BOUND * F.sqrt(p * (1 - p) / (F.col("n") + k + 1)) > m) & (p > m + QUARTILE * F.sqrt(m * (1 - m) / (k + 1)))
+    own = {r: F.max(F.when(F.col("rule") == r, p)) for r in fails}
     return shrunk.groupBy("host").agg(
         F.max("n").alias("host_n"),
         *[x.alias(f"rate_{r}") for r, x in own.items()],
-        *[(x >= watch_rate).alias(f"watch_{r}") for r, x in own.items()],
+        *[F.bool_or((F.col("rule") == r) & apart).alias(f"watch_{r}") for r in fails],
         (F.max("rate") <= max_rate).alias("host_ok"),
     )
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5, watch_rate: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Measures, base verdict and the verdict that a document gets through its host.
 
     All documents of a bad host go, and so do those that fail a rule in which their host is
-    watched; where a rule fails rarely, a document that fails it may be sound and stays.
+    watched; in other hosts a document that fails it may be sound and stays. Equal documents of
+    two hosts can so get different verdicts.
     The measures go to a scratch table first: the texts are read once, the hosts' sums come
     from partial aggregates, and the verdicts return by a broadcast join if the hosts are few
     (:data:`~marlstone.llm.common.BROADCAST_ROWS`), else by a shuffle join that splits skewed hosts.
-    An empty table gives no rows; repeated rows are judged one by one.
+    An empty table gives no rows; repeated rows are judged one by one. Columns other than id,
+    text and host are not read, so their names can't clash.
     """
     measured = written(text_measures(docs.select(F.col(id_col), F.col(text), F.col(host).alias("__host")), text))
-    verdicts = host_verdicts(measured, "__host", max_rate, watch_rate)
+    verdicts = host_verdicts(measured, "__host", max_rate)
     joined = measured.join(small(written(verdicts)), F.col("__host").eqNullSafe(F.col("host")), "left")
     fails = rule_failures()
     seen = [F.col(f"watch_{r}") & f for r, f in fails.items()]
@@ -163,10 +171,12 @@ WITH w AS (
 ), k AS (
   SELECT rule, mu, CASE WHEN a - mu * (1 - mu) * r > 0 THEN greatest(1.0, least(1e6, mu * (1 - mu) / (a - mu * (1 - mu) * r) - 1)) ELSE 1e6 END AS k FROM p
 ), sh AS (
-  SELECT source, rule, (fails + mu * k) / (n + k) AS rate FROM h JOIN k USING (rule)
+  SELECT source, rule, n, mu, k, (fails + mu * k) / (n + k) AS rate FROM h JOIN k USING (rule)
+), ap AS (
+  SELECT *, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > mu AND rate > mu + 0.6745 * sqrt(mu * (1 - mu) / (k + 1)) AS apart FROM sh
 ), hv AS (
-  SELECT source, max(rate) <= 0.5 AS ok, max(rate) FILTER (rule = 'symbols') >= 0.05 AS watch_symbols, max(rate) FILTER (rule = 'dup_lines') >= 0.05 AS watch_dup_lines
-  FROM sh GROUP BY source
+  SELECT source, max(rate) <= 0.5 AS ok, bool_or(rule = 'symbols' AND apart) AS watch_symbols, bool_or(rule = 'dup_lines' AND apart) AS watch_dup_lines
+  FROM ap GROUP BY source
 )
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
        NOT base AND ok AND NOT (watch_symbols AND symbols) AND NOT (watch_dup_lines AND dup_lines) AS kept

@@ -157,6 +157,13 @@ def test_a_watched_rule_takes_the_documents_that_fail_it(spark):
     assert [rows[i].kept for i in range(600)] == [texts[i] == good for i in range(300)] + [True] * 300
 
 
+def test_hosts_that_are_alike_are_not_watched(spark):
+    good, marked = "one two three four five six seven eight nine ten eleven", "one two# three# four five six seven eight nine ten eleven"
+    texts = ([good] * 7 + [marked] * 3) * 60
+    hosts = [f"h{i // 100}" for i in range(600)]
+    assert all(r.kept for r in quality_rules.judge(frame(spark, texts, hosts)).collect())
+
+
 def water_level(sizes, weights, cap=3):
     full, targets = set(), {}
     total = sum(sizes.values())
