@@ -419,7 +419,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     smallest id go whole, and that one takes part in the search. Buckets grow in number with
     the bytes. What meets in one task is what one bucket holds: the records of keys of fewer
     than FREQUENT documents, and of other keys the contexts or windows, reduced to their
-    smallest documents as they come.
+    smallest documents as they come. Spans return to the texts by a shuffle join at every size,
+    as they grow with the texts.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     classes = written(text_classes(given).filter("id > rep").select("id", "key").distinct())
@@ -440,7 +441,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spans = written(repeated_spans(reps, levels, max(BUCKETS, size // BUCKET_BYTES)))
     levels.destroy()
     copied = classes.withColumn("copy", F.lit(True))
-    joined = marked.join(small(copied, 2_000_000), ["id", "key"], "left").join(small(spans), "id", "left").select("id", "text", "copy", "spans")
+    joined = marked.join(small(copied, 2_000_000), ["id", "key"], "left").join(spans.hint("merge"), "id", "left").select("id", "text", "copy", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
