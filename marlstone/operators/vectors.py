@@ -1,4 +1,4 @@
-"""Pairs of near vectors: by buckets of random hyperplanes, or exactly by cells with bounds."""
+"""Pairs of near vectors: by buckets of random hyperplanes, or exactly by products of blocks."""
 
 from __future__ import annotations
 
@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators.block_joins import TILE, block_pairs
 from marlstone.plans.scratch import written
 
 #: Bits of a bucket at least, and bits beyond those that give each vector a bucket of its own.
 LEAST_BITS, MORE_BITS = 8, 2
-#: Pivots of the exact join at most, and numbers of a vector that its first bound looks at.
-PIVOTS, PREFIX = 1024, 16
-#: What rounding may add to an angle.
-SLACK = 1e-6
+#: What single precision may take from a cosine.
+NEAR = 1e-4
 
 
 def bucket_plan(vectors: int, least: float, recall: float) -> tuple[int, int]:
@@ -34,7 +33,7 @@ def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.array([len(v) if v.is_valid else 0 for v in column], np.int64)
     for size in np.unique(sizes[sizes > 0]).tolist():
         rows = np.flatnonzero(sizes == size)
-        values = np.array(column.take(pa.array(rows)).flatten().to_pylist(), np.float64).reshape(-1, size)
+        values = np.array(column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
         norm = np.sqrt((values * values).sum(axis=1))
         good = np.isfinite(norm) & (norm > 0)
         yield rows[good], values[good] / norm[good, None]
@@ -94,71 +93,38 @@ def bucketed_pairs(reps: DataFrame, least: float = 0.95, recall: float = 0.99, s
 def exact_pairs(reps: DataFrame, least: float = 0.95) -> DataFrame:
     """(x, y, cosine): all pairs x < y of the rows (id, v) with a cosine of ``least`` or more, surely.
 
-    Some vectors are pivots (sqrt(n), PIVOTS at most, chosen by a hash of the id). A vector lives in the
-    cell of its nearest pivot and visits each cell whose radius and the angle searched for reach it: by the
-    triangle inequality a near vector that lives there can't be further. In a cell two are
-    compared if their angles to the pivot are near, and their whole numbers only if those of a prefix
-    leave room by the norms of the rest. Data without structure send all vectors to all cells, as any exact join does.
+    Blocks of unit vectors of one length are multiplied, each two groups of vectors in a task, and what may reach
+    ``least`` is checked in double precision. The products grow with the square of the vectors, as any exact join's on data without
+    structure; what is sent grows with vectors times groups, and no task holds more than two groups.
     """
-    n = reps.count()
-    spark, kind = reps.sparkSession, reps.schema["id"].dataType.simpleString()
-    reach = math.acos(min(1.0, max(-1.0, least))) + SLACK
-    chosen = reps.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, math.isqrt(max(n - 1, 0)) + 1)).collect()  # PIVOTS rows at most
-    by_size: dict[int, list] = {}
-    for r in chosen:
-        by_size.setdefault(len(r.v or ()), []).append(r.v)
-    # a length that no pivot has gets one along its first axis
-    pivots = {}
-    for size, rows in by_size.items():
-        m = np.array(rows, np.float64).reshape(-1, size) if size else np.zeros((0, 0))
-        norm = np.sqrt((m * m).sum(axis=1))
-        m = m[np.isfinite(norm) & (norm > 0)] / norm[np.isfinite(norm) & (norm > 0), None]
-        if len(m):
-            pivots[size] = m
-    sent = spark.sparkContext.broadcast(pivots)
-
-    def angles(units: np.ndarray) -> np.ndarray:
-        own = sent.value.get(units.shape[1])
-        own = np.eye(1, units.shape[1]) if own is None else own
-        return np.arccos(np.clip(units @ own.T, -1, 1))
-
-    def rows_of(batch: pa.RecordBatch, rows: np.ndarray, units: np.ndarray, cell: np.ndarray, angle: np.ndarray) -> pa.RecordBatch:
-        k = min(PREFIX, units.shape[1])
-        rest = np.sqrt(np.maximum((units[:, k:] ** 2).sum(axis=1), 0))
-        border = lambda m: pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(rows), units.shape[1]), pa.int32()), pa.array(cell, pa.int32()), pa.array(angle), batch.column(0).take(pa.array(rows)), pa.array(rest),
-                pa.ListArray.from_arrays(border(units[:, :k]), pa.array(np.ascontiguousarray(units[:, :k]).reshape(-1))), pa.ListArray.from_arrays(border(units), pa.array(units.reshape(-1))),
-            ],
-            ["size", "cell", "angle", "id", "rest", "head", "unit"],
-        )
-
-    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, units in _matrix(batch.column(1)):
-                a = angles(units)
-                cell = a.argmin(axis=1)
-                yield rows_of(batch, rows, units, cell, a[np.arange(len(rows)), cell])
-
-    fields = f"size int, cell int, angle double, id {kind}, rest double, head array<double>, unit array<double>"
-    homes = written(reps.select("id", "v").mapInArrow(live, fields))
-    radius = {(r.size, r.cell): r.radius for r in homes.groupBy("size", "cell").agg(F.max("angle").alias("radius")).collect()}  # a row a pivot
+    kind = reps.schema["id"].dataType.simpleString()
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, units in _matrix(batch.column(1)):
-                a = angles(units)
-                limit = np.array([radius.get((units.shape[1], c), -np.inf) for c in range(a.shape[1])]) + reach
-                at, cell = np.nonzero(a <= limit)
-                yield rows_of(batch, rows[at], units[at], cell, a[at, cell])
-
-    visits = reps.select("id", "v").mapInArrow(visit, fields)
-    x, y = (d.select("size", "cell", *[F.col(c).alias(c + s) for c in ("angle", "id", "rest", "head", "unit")]) for d, s in ((visits, "1"), (homes, "2")))
-    near = (F.col("id1") < F.col("id2")) & (F.abs(F.col("angle1") - F.col("angle2")) <= reach)
-    room = T.dot(F.col("head1"), F.col("head2")) + F.col("rest1") * F.col("rest2") >= least - SLACK
-    met = x.join(y, ["size", "cell"]).filter(near & room & (T.dot(F.col("unit1"), F.col("unit2")) >= least - SLACK))
-    return _checked(met.select(F.col("id1").alias("x"), F.col("id2").alias("y")), reps, least)
+                packed = pa.array([u.tobytes() for u in units.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), units.shape[1]), pa.int32()), packed], ["id", "size", "unit"])
+
+    def opened(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+        t = t.filter(pa.array(t["size"].to_numpy() == size))
+        return t["id"].to_numpy(), np.frombuffer(b"".join(t["unit"].to_pylist()), np.float32).reshape(-1, size)
+
+    def compare(left: pa.Table, right: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        for size in np.unique(left["size"].to_numpy()).tolist():
+            a = opened(left, size)
+            b = a if right is None else opened(right, size)
+            for low in range(0, len(a[0]), TILE):
+                for at in range(low if right is None else 0, len(b[0]), TILE):
+                    i, j = np.nonzero(a[1][low : low + TILE] @ b[1][at : at + TILE].T >= np.float32(least - NEAR))
+                    i, j = i + low, j + at
+                    if right is None:
+                        i, j = i[i < j], j[i < j]
+                    if len(i):
+                        ids = a[0][i], b[0][j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ids)), pa.array(np.maximum(*ids))], ["x", "y"])
+
+    rows = written(reps.select("id", "v").mapInArrow(encode, f"id {kind}, size int, unit binary"))
+    return _checked(block_pairs(rows, compare, f"x {kind}, y {kind}", lambda n, m: False), reps, least)
 
 
 def pair_report(vectors: DataFrame, id_col: str, vector: str, pairs_of) -> DataFrame:
