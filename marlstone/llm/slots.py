@@ -1,8 +1,9 @@
 """Which 64-bit keys occur in how many documents, roughly and in little space.
 
-Keys fall into 2^bits slots by their high bits. A slot's count is that of the documents with a
-key in it, so a count below a level proves that each of its keys is in fewer documents than
-that; a count at or above it proves nothing. Counts cover every document.
+Keys fall into 2^bits slots by their high bits. They are counted by eight bits more, and a slot is
+marked at a level if one of its 256 parts has that many documents. So a slot that isn't marked proves that
+each of its keys is in fewer documents than that; a mark proves nothing. Counts cover every
+document. As keys of one document mark nothing, marks grow with the keys that are repeated and not with all keys.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches
+from marlstone.llm.common import bounded_batches, written
 
-#: Slots of one bucket; a key's place in its bucket takes two bytes.
-BUCKET_BITS = 16
+#: Slots of one bucket, and parts of a slot; a key's place in its bucket takes three bytes.
+BUCKET_BITS, PART_BITS = 16, 8
 #: Keys that a task holds before it sends them.
 HELD = 2_000_000
+#: Partitions that the driver reads the levels in, one after the other.
+READ = 4
 #: Counts stop here.
 MOST = 200
-#: 2^29 slots are 64 MB a level, which is the most that is broadcast; with far more keys than
+#: 2^29 slots are 64 MB a level, which is the most that is broadcast; with far more repeated keys than
 #: slots the levels stop telling keys apart, which costs time and never results.
 MAX_BITS = 29
 
@@ -49,8 +52,9 @@ def slot_levels(
 ) -> Broadcast:
     """The :class:`Levels` of all keys that ``keys_of`` yields, each key once a document.
 
-    A task sends two bytes a key, already counted among its own documents, so a key that a
-    third of all documents share is a few rows. The result is a fixed number of bytes.
+    A task sends three bytes a key, already counted among its own documents, so a key that a
+    third of all documents share is a few rows. The result is a fixed number of bytes; all of it is
+    made at once and read back from the shared folder.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,16 +66,16 @@ def slot_levels(
             first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
             times = np.minimum(np.diff(np.r_[first, len(slots)]), MOST)
             slots = np.repeat(slots[first], times)
-            bucket = slots >> np.uint32(BUCKET_BITS)
+            bucket = slots >> np.uint64(BUCKET_BITS + PART_BITS)
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            low = (slots & np.uint32((1 << BUCKET_BITS) - 1)).astype("<u2").tobytes()
+            low = np.ascontiguousarray(slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]).tobytes()
             ends = np.r_[starts[1:], len(slots)]
-            blobs = [low[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            blobs = [low[3 * a : 3 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "low"])
 
         size = 0
         for keys in keys_of(batches):
-            held.append((keys >> np.uint64(64 - bits)).astype(np.uint32))
+            held.append(keys >> np.uint64(64 - bits - PART_BITS))
             size += len(keys)
             if size > HELD:
                 yield from flush()
@@ -80,28 +84,48 @@ def slot_levels(
             yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, np.zeros(1 << BUCKET_BITS, np.int32)
-
-        def done() -> Iterator[pa.RecordBatch]:
-            packed = b"".join(np.packbits(counts >= level).tobytes() for level in levels)
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed], pa.binary())], ["bucket", "packed"])
+        now, size = None, 0
+        held: list[bytes] = []
+        kept = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+        def reduced() -> tuple[np.ndarray, np.ndarray]:
+            raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 3)
+            parts = np.zeros((len(raw), 4), np.uint8)
+            parts[:, :3] = raw
+            parts, times = np.r_[kept[0], parts.view("<u4")[:, 0]], np.r_[kept[1], np.ones(len(raw), np.uint8)]
+            order = np.argsort(parts, kind="stable")
+            parts, times = parts[order], times[order]
+            first = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
+            return parts[first], np.minimum(np.add.reduceat(times, first, dtype=np.int64), MOST).astype(np.uint8)
+
+        def done() -> pa.RecordBatch:
+            parts, times = reduced()
+            packed = b""
+            for level in levels:
+                marked = np.zeros(1 << BUCKET_BITS, bool)
+                marked[parts[times >= level] >> np.uint32(PART_BITS)] = True
+                packed += np.packbits(marked).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed], pa.binary())], ["bucket", "packed"])
 
         for batch in batches:
             for bucket, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now:
                     if now is not None:
-                        yield from done()
-                    now = bucket
-                    counts[:] = 0
-                counts += np.bincount(np.frombuffer(low.as_buffer(), "<u2"), minlength=1 << BUCKET_BITS)
+                        yield done()
+                    now, size, held, kept = bucket, 0, [], (kept[0][:0], kept[1][:0])
+                held.append(low.as_buffer().to_pybytes())
+                size += len(held[-1]) // 3
+                if size > HELD:
+                    kept, held = reduced(), []
+                    size = min(len(kept[0]), HELD // 2)
         if now is not None:
-            yield from done()
+            yield done()
 
     sent = bounded_batches(docs).mapInArrow(send, "bucket int, low binary")
-    packed = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, packed binary")
+    packed = written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, packed binary"))
     size = 1 << (BUCKET_BITS - 3)
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in levels]
-    for row in packed.toLocalIterator():  # 2^bits bits a level, whatever the input; a partition at a time
+    for row in packed.coalesce(READ).toLocalIterator():  # 2^bits bits a level, whatever the input; a partition at a time
         for k, level in enumerate(out):
             level[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.packed, np.uint8, size, k * size)
     return docs.sparkSession.sparkContext.broadcast(Levels(bits, out))
