@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.plans.scratch import written
+from marlstone.plans.scratch import small, written
 
 # Words that no query group is made of, and the weights of the text sections.
 STOP_WORDS = frozenset("a an and are as at be by for from in is it of on or that the this to was with".split())
@@ -52,18 +52,30 @@ def expand(query: str, synonyms: Sequence[tuple[str, Sequence[str], str]] = ())
     return groups
 
 
-def postings(items: DataFrame, id_col: str, sections: dict[str, Column]) -> DataFrame:
-    """(id, word, weight): the heaviest section that each word of an item occurs in."""
-    parts = []
-    for name, c in sections.items():
-        weight = SECTION_WEIGHTS[name]
-        parts.append(F.transform(F.array_distinct(T.words(c)), _weighted(weight)))
-    rows = items.select(F.col(id_col).alias("id"), F.explode(F.flatten(F.array(*parts))).alias("p"))
-    return rows.groupBy("id", F.col("p.word").alias("word")).agg(F.max("p.weight").alias("weight"))
+def one_row_an_id(rows: DataFrame) -> DataFrame:
+    """Rows (id, texts ...) with one row an id: the texts of a repeated id are put together.
+
+    Only ids are counted by a shuffle, and only rows of repeated ids are grouped.
+    """
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("again"))
+    again = written(again)
+    if again.isEmpty():
+        return rows
+    same, again = F.col("id").eqNullSafe(F.col("again")), small(again)
+    texts = [F.concat_ws(" ", F.collect_list(c)).alias(c) for c in rows.columns if c != "id"]
+    return rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").groupBy("id").agg(*texts).select(rows.columns))
 
 
-def _weighted(weight: float):
-    return lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight"))
+def postings(items: DataFrame, id_col: str, sections: dict[str, Column]) -> DataFrame:
+    """(id, word, weight): the heaviest section that each word of an item occurs in. Words are told apart within their row; none is shuffled."""
+    names = sorted(sections, key=lambda s: -SECTION_WEIGHTS[s])
+    rows = one_row_an_id(items.select(F.col(id_col).alias("id"), *[sections[s].alias(s) for s in names]))
+    rows = rows.select("id", *[T.words(F.col(s)).alias(s) for s in names])
+    parts = []
+    for k, name in enumerate(names):
+        heavier = F.concat(T.strings(), *[F.col(s) for s in names[:k]])
+        parts.append(F.struct(F.array_except(F.col(name), heavier).alias("words"), F.lit(SECTION_WEIGHTS[name]).alias("weight")))
+    return rows.select("id", F.inline(F.array(*parts))).select("id", F.explode("words").alias("word"), "weight")
 
 
 def _scores(groups: list[list[list[str]]], weight) -> Column:
