@@ -1,83 +1,135 @@
 """A stored index for faceted search: bucketed lists of postings in blocks, merged from batches.
 
-Below the index's folder lie three tables. ``words`` and ``grams`` have a row per key and block:
+Below the index's folder lie tables. ``word``, ``title`` and ``summary`` have a row per key and block:
 ``best`` and ``n`` of the block and its entries. Keys are dealt into buckets, which are folders, and
-sorted, so a search reads the folders of its keys only and skips most of each. A block holds the ids with one
-remainder of their hash, so a key that most items have is many rows of bounded size. ``items`` has
-ids, titles and the columns that facets test, but no texts.
+sorted, so a search reads the folders of its keys only and skips most of each. A block holds items that
+lie together, so it is turned into lists where it lies and no posting is shuffled; a key that most items
+have is many rows of bounded size. ``items`` has ids, titles and the columns that facets test, but no texts.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import search as S
-from marlstone.plans.scratch import written
+from marlstone.plans.scratch import bounded_batches, written
 
-#: Folders of a table, ids of a block on average, and files that a folder is written in at most.
-BUCKETS, BLOCK, FILES = 32, 4096, 8
+#: Folders of a table; items and bytes of text of a block at most; tasks a core that write a table, and so files of a folder.
+BUCKETS, BLOCK, BLOCK_BYTES, TASKS = 32, 4096, 16 << 20, 4
 
 
 def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _lists(posts: DataFrame, blocks: int, value: str, target: str) -> None:
-    """Writes (key, id, value) as lists of entries (id, value) by bucket, key and block."""
-    at = F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(blocks)).cast("int")
-    lists = posts.groupBy("key", at.alias("block")).agg(F.max(value).alias("best"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", F.col(value).alias("value"))).alias("entries"))
-    lists = lists.withColumn("bucket", _bucket(F.col("key")))
-    lists.repartition("bucket", F.pmod("block", F.lit(FILES))).sortWithinPartitions("bucket", "key", "block").write.mode("overwrite").partitionBy("bucket").parquet(target)
-
-
-def postings_of(items: DataFrame, id_col: str, title: str, sections: dict[str, Column], summary: str | None = None) -> DataFrame:
-    """(kind, id, key, weight) of items: ``word`` with the weight of its heaviest section; ``title`` and
-    ``summary`` with the number of different trigrams of that text for each of them. What a batch adds to an index."""
-    words = S.postings(items, id_col, sections).select(F.lit("word").alias("kind"), "id", F.col("word").alias("key"), "weight")
-    legs = {"title": title} | ({"summary": summary} if summary else {})
-
-    def grams(kind: str, text: str) -> DataFrame:
-        g = items.select(F.col(id_col).alias("id"), T.trigrams(F.col(text)).alias("g"))
-        return g.select(F.lit(kind).alias("kind"), "id", F.explode("g").alias("key"), F.size("g").cast("double").alias("weight"))
-
-    return reduce(DataFrame.union, [grams(k, c) for k, c in legs.items()], words)
-
-
-def store(posts: DataFrame, items: DataFrame, target: str, block: int = BLOCK) -> None:
-    """Writes the index of postings (kind, id, key, weight) and of items (id, title and facet columns) to a folder.
-
-    Ids are unique. Blocks grow in number with the items. A run that is repeated replaces what it wrote.
+def _grams(words: pa.Array, word: np.ndarray, doc: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(trigrams, number of a trigram, item) of the pairs (number of a word, item); each word's trigrams are cut once."""
+    known: dict[str, int] = {}
+    cut = [[known.setdefault(p[i : i + 3], len(known)) for i in range(len(p) - 2)] for p in (f"  {w} " for w in words.to_pylist())]
+    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    flat = np.fromiter((g for c in cut for g in c), np.int64, int(sizes.sum()))
+    begins, own = np.r_[0, np.cumsum(sizes)][:-1], sizes[word]
+    within = np.arange(int(own.sum())) - np.repeat(np.r_[0, np.cumsum(own)][:-1], own)
+    return pa.array(list(known), pa.string()), flat[np.repeat(begins[word], own) + within], np.repeat(doc, own)
+
+
+def _lists_of_block(table: pa.Table, weights: Sequence[float] | None, block: int) -> pa.RecordBatch:
+    """The lists of some items (id, plain texts ...): words with the weight of their heaviest text, which comes first, or
+    without weights the trigrams with the number of different ones of their item."""
+    ids, n = table.column(0).combine_chunks(), max(1, table.num_rows)
+    cut = [pc.split_pattern(table.column(k).combine_chunks(), " ") for k in range(1, table.num_columns)]
+    section = np.repeat(np.arange(len(cut)), [len(c.flatten()) for c in cut])
+    doc = np.concatenate([pc.list_parent_indices(c).to_numpy(zero_copy_only=False) for c in cut]).astype(np.int64)
+    encoded = pa.concat_arrays([c.flatten() for c in cut]).dictionary_encode()
+    keys, code = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.not_equal(keys, "").to_numpy(zero_copy_only=False)[code]
+    packed = np.sort((code[real] * n + doc[real]) * len(cut) + section[real])
+    pair, section = np.divmod(packed, len(cut))
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+    pair, section = pair[first], section[first]
+    if weights is None:
+        keys, code, doc = _grams(keys, *np.divmod(pair, n))
+        pair = np.sort(code * n + doc)
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]][: len(pair)]]
+    code, doc = np.divmod(pair, n)
+    weight = np.bincount(doc, minlength=n)[doc].astype(float) if weights is None else np.asarray(weights)[section]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    edges = pa.array(np.r_[starts, len(code)].astype(np.int32))
+    best = np.maximum.reduceat(weight, starts) if len(starts) else weight
+    columns = [keys.take(pa.array(code[starts])), pa.array(np.full(len(starts), block)), pa.array(best), pa.array(np.diff(np.r_[starts, len(code)]))]
+    columns += [pa.ListArray.from_arrays(edges, ids.take(pa.array(doc))), pa.ListArray.from_arrays(edges, pa.array(weight))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "block", "best", "n", "ids", "weights"])
+
+
+def _write_lists(rows: DataFrame, weights: Sequence[float] | None, block: int, target: str) -> None:
+    """Writes the lists of rows (id, plain texts ...) by bucket, key and block. Blocks are numbered by their task."""
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, block - sum(b.num_rows for b in held))
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                size += part.nbytes
+                if size > BLOCK_BYTES or sum(b.num_rows for b in held) >= block:
+                    yield _lists_of_block(pa.Table.from_batches(held), weights, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield _lists_of_block(pa.Table.from_batches(held), weights, number)
+
+    most = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    kind = rows.schema["id"].dataType.simpleString()
+    lists = bounded_batches(rows).coalesce(most).mapInArrow(invert, f"key string, block long, best double, n long, ids array<{kind}>, weights array<double>")
+    lists.withColumn("bucket", _bucket(F.col("key"))).sortWithinPartitions("bucket", "key", "block").write.mode("overwrite").partitionBy("bucket").parquet(target)
+
+
+def plain_texts(items: DataFrame, id_col: str, title: str, sections: dict[str, Column], summary: str | None = None) -> DataFrame:
+    """(id, plain texts of the sections by their names, of the title and of a summary): what a batch adds to an index."""
+    texts = sections | {"title": F.col(title)} | ({"summary": F.col(summary)} if summary else {})
+    return items.select(F.col(id_col).alias("id"), *[T.plain(c).alias(name) for name, c in texts.items()])
+
+
+def store(texts: DataFrame, items: DataFrame, target: str, block: int = BLOCK) -> None:
+    """Writes the index of :func:`plain_texts` and of items (id, title and facet columns) to a folder.
+
+    Ids are unique; words of rows that repeat one are put together. Blocks grow in number with the items. A run that is repeated replaces what it wrote.
     """
     items.write.mode("overwrite").parquet(f"{target}/items")
-    blocks = max(1, math.ceil(items.sparkSession.read.parquet(f"{target}/items").count() / block))
-    held = written(posts)
-    for kind in ("word", "title", "summary"):
-        _lists(held.filter(F.col("kind") == kind), blocks, "weight", f"{target}/{kind}")
+    names = sorted((c for c in texts.columns if c in S.SECTION_WEIGHTS), key=lambda s: -S.SECTION_WEIGHTS[s])
+    _write_lists(S.one_row_an_id(texts.select("id", *names)), [S.SECTION_WEIGHTS[s] for s in names], block, f"{target}/word")
+    for leg in ("title", "summary"):
+        rows = texts.select("id", leg) if leg in texts.columns else texts.select("id", F.lit("").alias(leg)).limit(0)
+        _write_lists(rows, None, block, f"{target}/{leg}")
 
 
 def build(items: DataFrame, id_col: str, title: str, sections: dict[str, Column], target: str, facets: Sequence[str] = (), summary: str | None = None, block: int = BLOCK) -> None:
     """Indexes all items at once."""
-    store(postings_of(items, id_col, title, sections, summary), items.select(F.col(id_col).alias("id"), F.col(title).alias("title"), *facets), target, block)
+    store(plain_texts(items, id_col, title, sections, summary), items.select(F.col(id_col).alias("id"), F.col(title).alias("title"), *facets), target, block)
 
 
-_LISTS = "key string, block int, best double, n long, entries array<struct<id:{id},value:double>>, bucket int"
+_LISTS = "key string, block long, best double, n long, ids array<{id}>, weights array<double>, bucket int"
 
 
 def _read(spark: SparkSession, source: str, kind: str, keys: Sequence[str], id_type: str) -> DataFrame:
     """The lists of some keys: other folders aren't opened, and of these only the parts that may have the keys are read."""
-    wanted = spark.createDataFrame([(k,) for k in keys], "k string").select(F.collect_set(_bucket(F.col("k")))).first()[0] if keys else []
+    wanted = spark.range(1).select(F.array_distinct(F.array(*[_bucket(F.lit(k)) for k in keys]))).first()[0] if keys else []
     lists = spark.read.schema(_LISTS.format(id=id_type)).parquet(f"{source}/{kind}")
     return lists.filter(F.col("bucket").isin(wanted) & F.col("key").isin(list(keys)))
 
 
 def _entries(lists: DataFrame) -> DataFrame:
-    return lists.select("key", F.explode("entries").alias("e")).select("key", "e.id", F.col("e.value").alias("weight"))
+    return lists.select("key", F.explode(F.arrays_zip("ids", "weights")).alias("e")).select("key", F.col("e.ids").alias("id"), F.col("e.weights").alias("weight"))
 
 
 def _similar(spark: SparkSession, source: str, kind: str, query: str, id_type: str) -> DataFrame:

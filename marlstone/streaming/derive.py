@@ -34,8 +34,8 @@ def keep_batches(spark: SparkSession, source: str, schema: str, target: str, sta
 
     def derive(batch: DataFrame, number: int) -> None:
         rows = batch.dropDuplicates(["id"])
-        posts = search_index.postings_of(rows, "id", "title", {"A": F.col("title"), "D": F.col("body")})
-        posts.write.mode("overwrite").parquet(f"{target}/posts/batch={number}")
+        texts = search_index.plain_texts(rows, "id", "title", {"A": F.col("title"), "D": F.col("body")})
+        texts.write.mode("overwrite").parquet(f"{target}/texts/batch={number}")
         rows.select("id", "title").write.mode("overwrite").parquet(f"{target}/items/batch={number}")
 
     rows = spark.readStream.schema(schema).parquet(source)
@@ -46,5 +46,5 @@ def merge_batches(spark: SparkSession, source: str, target: str) -> None:
     """The index of all batches below ``source``: of each id, the rows of its latest batch."""
     items = spark.read.parquet(f"{source}/items")
     newest = items.groupBy("id").agg(F.max("batch").alias("batch"))
-    posts = spark.read.parquet(f"{source}/posts").join(newest, ["id", "batch"], "left_semi")
-    search_index.store(posts.drop("batch"), items.join(newest, ["id", "batch"], "left_semi").drop("batch"), target)
+    texts = spark.read.parquet(f"{source}/texts").join(newest, ["id", "batch"], "left_semi")
+    search_index.store(texts.drop("batch"), items.join(newest, ["id", "batch"], "left_semi").drop("batch"), target)

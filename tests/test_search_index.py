@@ -85,3 +85,41 @@ def test_an_empty_table_has_an_empty_index(spark, tmp_path):
     none = spark.createDataFrame([], "id long, title string, body string")
     X.build(none, "id", "title", sections(), str(tmp_path))
     assert X.search(spark, str(tmp_path), S.Request("w1")).collect() == [] == X.top_matches(spark, str(tmp_path), "w1", 3).collect()
+
+
+def test_blocks_are_made_where_items_lie_and_no_posting_is_shuffled(spark, tmp_path):
+    rows = spark.createDataFrame(rows_of(1000, 5), "id long, title string, body string, lang string").repartitionByRange(4, "id")
+    X.build(rows, "id", "title", sections(), str(tmp_path), block=64)
+    for kind in ("word", "title"):
+        lists = spark.read.parquet(f"{tmp_path}/{kind}")
+        held = lists.groupBy("block").agg(F.min(F.array_min("ids")).alias("a"), F.max(F.array_max("ids")).alias("b")).collect()
+        assert len(held) >= 1000 // 64 and max(r.b - r.a for r in held) < 64
+    plan = S.postings(rows.sort("id").localCheckpoint(), "id", sections())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_lists_equal_plain_python(spark, tmp_path):
+    texts = ["Größe größe a1-b2", "", None, "x", "ab ab abc", "\U0001f600 \U00020000z naïve İI", "  ,; ", "a b\nc a"]
+    rows = spark.createDataFrame([(i, texts[i % 8], texts[(i * 3 + 1) % 8]) for i in range(40)], "id long, title string, body string").repartition(3)
+    X.build(rows, "id", "title", sections(), str(tmp_path), summary="body", block=7)
+    cut = {r.id: (r.a, r.b) for r in rows.select("id", F.expr("title").alias("t"), *[X.T.words(F.col(c)).alias(n) for c, n in (("title", "a"), ("body", "b"))]).collect()}
+    grams = lambda ws: {f"  {w} "[i : i + 3] for w in ws for i in range(len(w) + 1)}
+    told = {"word": set(), "title": set(), "summary": set()}
+    for i, (a, b) in cut.items():
+        told["word"] |= {(w, i, 1.0 if w in a else 0.1) for w in {*a, *b}}
+        told["title"] |= {(g, i, float(len(grams(a)))) for g in grams(a)}
+        told["summary"] |= {(g, i, float(len(grams(b)))) for g in grams(b)}
+    for kind, wanted in told.items():
+        found = X._entries(spark.read.parquet(f"{tmp_path}/{kind}")).collect()
+        assert len(found) == len(wanted) and {(r.key, r.id, r.weight) for r in found} == wanted
+        assert spark.read.parquet(f"{tmp_path}/{kind}").filter("best < array_max(weights) or n != size(ids)").isEmpty()
+
+
+def test_rows_that_repeat_an_id_give_each_word_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "b c"), (1, "c", "a d"), (2, "d", None), (None, "e", "f"), (None, "f", "g")], "id long, title string, body string").repartition(3)
+    wanted = {(1, "a", 1.0), (1, "b", 0.1), (1, "c", 1.0), (1, "d", 0.1), (2, "d", 1.0), (None, "e", 1.0), (None, "f", 1.0), (None, "g", 0.1)}
+    found = S.postings(rows, "id", sections()).collect()
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+    X.build(rows, "id", "title", sections(), str(tmp_path))
+    lists = X._entries(spark.read.parquet(f"{tmp_path}/word")).collect()
+    assert len(lists) == len(wanted) and {(r.id, r.key, r.weight) for r in lists} == wanted
